@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.llm import chat, mixing, quality, sharding
+from kvlake.llm import chat, mixing, pieces, quality, sharding
 from kvlake.llm.shared import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -45,7 +49,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_chat_format, op8_quality_rules, op9_mix_sources, op10_shard)}
+    return {f.__name__: f for f in (op3_sentencepiece, op6_chat_format, op8_quality_rules, op9_mix_sources, op10_shard)}
 
 
 OP6_SQL = r"""
