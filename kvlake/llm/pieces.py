@@ -60,24 +60,24 @@ class Pieces:
     def segmented(self, texts: list[str | None]) -> Iterator[list[tuple[str, int, str]]]:
         """For each text, its chunks' (ids as text with a space after each, number of ids, decoded text)."""
         step, size = [], 0
-        for text in [*texts, None]:
+        for n, text in enumerate(texts, 1):
             step.append(self.chunks(text))
             size += len(step[-1])
-            if size > TABLE_CHUNKS // 4 or len(step) > len(texts):
+            if size > TABLE_CHUNKS // 4 or n == len(texts):
                 self.learn(step)
                 yield from ([self.table[c] for c in x] for x in step)
                 step, size = [], 0
 
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """Number of ids, and sha256 of the ids' text and of the decoded text."""
-        for parts, _ in zip(self.segmented(texts), texts):
+        for parts in self.segmented(texts):
             ids = "".join([p[0] for p in parts]) + str(self.end)
             decoded = "".join([p[2] for p in parts])[1:]
             yield sum([p[1] for p in parts]) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
     def coded(self, texts: list[str | None]) -> Iterator[tuple[list[int], str]]:
         """Ids with the end id, and the decoded text."""
-        for parts, _ in zip(self.segmented(texts), texts):
+        for parts in self.segmented(texts):
             yield [*map(int, "".join([p[0] for p in parts]).split()), self.end], "".join([p[2] for p in parts])[1:]
 
 
