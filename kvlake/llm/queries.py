@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.llm import chat, mixing, pieces, quality, sharding
+from kvlake.llm import chat, minhash, mixing, pieces, quality, sharding
 from kvlake.llm.shared import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -26,6 +26,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.examples(turns.unionByName(probe)))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
@@ -49,7 +53,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_sentencepiece, op6_chat_format, op8_quality_rules, op9_mix_sources, op10_shard)}
+    return {f.__name__: f for f in (op3_sentencepiece, op6_chat_format, op7_minhash_near_dedup, op8_quality_rules, op9_mix_sources, op10_shard)}
 
 
 OP6_SQL = r"""
