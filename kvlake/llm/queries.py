@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.llm import chat, minhash, mixing, pieces, quality, sharding
+from kvlake.llm import chat, minhash, mixing, pieces, quality, sharding, toxicity
 from kvlake.llm.shared import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    told = (F.col("toxic_score") >= 0.5).cast("int")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("toxic_score").alias("score"), told.alias("predicted"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
@@ -53,7 +60,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_sentencepiece, op6_chat_format, op7_minhash_near_dedup, op8_quality_rules, op9_mix_sources, op10_shard)}
+    return {f.__name__: f for f in (op2_toxicity, op3_sentencepiece, op6_chat_format, op7_minhash_near_dedup, op8_quality_rules, op9_mix_sources, op10_shard)}
 
 
 OP6_SQL = r"""
