@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.llm import chat, minhash, mixing, pages, pieces, quality, sharding, toxicity
+from kvlake.llm import chat, knn, minhash, mixing, pages, pieces, quality, sharding, toxicity
 from kvlake.llm.shared import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = knn.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return knn.top_k(rows.filter("vec_id % 50 = 0"), rows, k=5)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -64,8 +69,22 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_sentencepiece, op4_html_text, op6_chat_format, op7_minhash_near_dedup, op8_quality_rules, op9_mix_sources, op10_shard)}
-
+    return {f.__name__: f for f in (op1_exact_top_k, op2_toxicity, op3_sentencepiece, op4_html_text, op6_chat_format, op7_minhash_near_dedup, op8_quality_rules, op9_mix_sources, op10_shard)}
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
+  FROM v q, v x WHERE q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id AND len(q.v) = len(x.v)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
 OP6_SQL = r"""
 WITH said AS (
@@ -90,4 +109,4 @@ FROM summed GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL}
+    return {"op1_exact_top_k": OP1_SQL, "op6_chat_format": OP6_SQL}
