@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.llm import chat, knn, minhash, mixing, pages, pieces, quality, sharding, toxicity
+from kvlake.llm import chat, knn, lines, minhash, mixing, pages, pieces, quality, sharding, toxicity
 from kvlake.llm.shared import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -31,6 +31,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -69,7 +73,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_toxicity, op3_sentencepiece, op4_html_text, op6_chat_format, op7_minhash_near_dedup, op8_quality_rules, op9_mix_sources, op10_shard)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_toxicity, op3_sentencepiece, op4_html_text, op5_line_dedup, op6_chat_format, op7_minhash_near_dedup, op8_quality_rules, op9_mix_sources, op10_shard)}
 
 
 OP1_SQL = """
