@@ -1,0 +1,18 @@
+"""One copy of a DataFrame that two branches of a plan must see alike, safe against lost executors."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the folder of spark.checkpoint.dir, or in one of our own where that is unset, as in tests.
+
+    Range boundaries are sampled, so a second run of the same shuffle may cut elsewhere; a checkpoint may not.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="kvlake-"))
+    return df.checkpoint()
