@@ -56,7 +56,7 @@ def _is_noise(tag: str, attrs: str) -> bool:
     if not attrs or tag in ("html", "body", "main"):
         return False
     if tag == "article":  # readers' comments are articles on some pages; other words name its topic or layout
-        return any(n.lower() in ("class", "id") and re.search(r"(?:^|[\s_-])(?:comment|reply)", v, re.I) for n, v in _ATTR.findall(attrs))
+        return any(n.lower() in ("class", "id") and re.search(r"(?:^|[\s_\"'-])(?:comment|reply)", v, re.I) for n, v in _ATTR.findall(attrs))
     for name, value in _ATTR.findall(attrs):
         name = name.lower()
         if name in ("class", "id", "role", "itemtype") and _NOISE.search(unescape(value.strip("\"'"))):
