@@ -68,7 +68,7 @@ def _bad(doubt: Column) -> Column:
 def votes() -> dict[str, Column]:
     """The rules. Eight know one fault each and abstain where they don't see it; one vouches for plain running text."""
     n, c = F.col("n_words"), F.col
-    plain = (n >= 10) & (c("n_dup_lines") * 10 <= c("n_lines") * 3) & (c("n_repeat_words") * 100 <= n * 15) & (c("n_symbols") * 100 <= n) & (c("word_chars") >= n * 3) & (c("word_chars") <= n * 8) & (c("n_capitals") * 8 <= c("word_chars"))
+    plain = (n >= 10) & ((c("n_dup_lines") < 2) | (c("n_dup_lines") * 10 <= c("n_lines") * 3)) & (c("n_repeat_words") * 100 <= n * 15) & (c("n_symbols") * 100 <= n) & (c("word_chars") >= n * 3) & (c("word_chars") <= n * 8) & (c("n_capitals") * 8 <= c("word_chars"))
     return {
         "symbols": _bad(c("n_symbols") * 10 > n),
         "symbol_chars": _bad(c("n_symbols") * 50 > c("word_chars")),
@@ -82,24 +82,37 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, prior: float = 0.85, accuracy: float = 0.95) -> dict[tuple[int, ...], float]:
+#: How often a rule votes bad, abstains or votes good on bad (0) and good (1) texts, before any are seen.
+_START = {0: {-1: 0.4, 0: 0.5, 1: 0.1}, 1: {-1: 0.02, 0: 0.48, 1: 0.5}}
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, prior: float = 0.85) -> dict[tuple[int, ...], float]:
     """EM over vote patterns and their counts -> the probability of `good` for each pattern.
 
-    A rule that votes is right with a probability of its own, whatever the class; how often it abstains
-    says nothing. All rules start at `accuracy`, which fixes which class is which. Each estimate is smoothed
-    by ten made-up votes and kept within 0.55 and 0.995, as is the share of good texts within 0.05 and 0.95.
+    A rule's accuracy is how often it votes bad, abstains or votes good on either class, which includes what its
+    silence says; accuracies of rules that vote on one side only could not be told from their mistakes
+    otherwise. They start better than chance, which fixes which class is which, and are smoothed by ten made-up
+    texts of each class; the share of good texts is kept within 0.05 and 0.95. No patterns: none come back.
     """
-    rules = len(patterns[0][0]) if patterns else 0
-    right, good = [accuracy] * rules, {}
+    if not patterns:
+        return {}
+    rate = {c: [dict(_START[c]) for _ in patterns[0][0]] for c in (0, 1)}
+    good: dict[tuple[int, ...], float] = {}
+    total = sum(n for _, n in patterns)
     for _ in range(rounds):
+        before = dict(good)
         for v, _n in patterns:
-            odds = log(prior / (1 - prior)) + sum(x * log(right[j] / (1 - right[j])) for j, x in enumerate(v))
-            good[v] = 1 / (1 + exp(-odds))
-        prior = min(0.95, max(0.05, sum(n * good[v] for v, n in patterns) / sum(n for _, n in patterns)))
-        for j in range(rules):
-            voted = sum(n for v, n in patterns if v[j])
-            agreed = sum(n * (good[v] if v[j] > 0 else 1 - good[v]) for v, n in patterns if v[j])
-            right[j] = min(0.995, max(0.55, (agreed + 10 * accuracy) / (voted + 10)))
+            odds = log(prior / (1 - prior)) + sum(log(rate[1][j][x] / rate[0][j][x]) for j, x in enumerate(v))
+            good[v] = 1 / (1 + exp(-max(-500.0, min(500.0, odds))))
+        if before and max(abs(good[v] - before[v]) for v in good) < 1e-9:
+            break
+        prior = min(0.95, max(0.05, sum(n * good[v] for v, n in patterns) / total))
+        for c in (0, 1):
+            mass = sum(n * (good[v] if c else 1 - good[v]) for v, n in patterns)
+            for j in range(len(patterns[0][0])):
+                for x in (-1, 0, 1):
+                    seen = sum(n * (good[v] if c else 1 - good[v]) for v, n in patterns if v[j] == x)
+                    rate[c][j][x] = (seen + 10 * _START[c][x]) / (mass + 10)
     return good
 
 
