@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvlake.functions.columns import DELETE, PUT
@@ -38,11 +38,10 @@ def batch(ops: Column) -> Column:
 def explode_batches(batches: DataFrame, last_seq: int = 0) -> DataFrame:
     """batches(batch_id, ops array<struct<typ,k,v>>) -> log rows, sequences in order of batch, then place in it.
 
-    A batch's first sequence is one more than the operations before it: a running sum over one row per batch,
-    not over operations. Of two operations on one key in a batch the later wins, as it has the higher sequence.
+    A batch's first sequence is one more than the operations before it, a running sum over ranges of batches.
+    Of two operations on one key in a batch the later wins, as it has the higher sequence.
     """
-    before = F.coalesce(F.sum(F.size("ops")).over(Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = batches.withColumn("base", before + F.lit(last_seq + 1))
+    numbered = running_sum(batches, ["batch_id"], F.size("ops"), "base").withColumn("base", F.col("base") + F.lit(last_seq + 1))
     each = numbered.select("base", F.posexplode("ops").alias("pos", "op"))
     return each.select("op.k", (F.col("base") + F.col("pos")).cast("long").alias("seq"), "op.typ", "op.v")
 
