@@ -122,18 +122,19 @@ def repeats(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """
     lines = keep(docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_cut, "doc_id long, pos int, start int, length int, words int, h long"), "lines")
     first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.max("doc_id").alias("last")).filter("f.doc_id < last")
-    first = first.select("h", F.col("f.doc_id").alias("first"), F.col("f.pos").alias("there"))
-    shared = lines.join(first, "h").filter("doc_id > first")
+    first = keep(first.select("h", F.col("f.doc_id").alias("first"), F.col("f.pos").alias("there")), "first")
+    # Both sides are shuffled at any size, and as tables, so that a line in a third of the documents can be split between tasks.
+    shared = lines.join(first.hint("merge"), "h").filter("doc_id > first")
     each = shared.groupBy("doc_id").agg(F.collect_list(F.struct("first", "pos", "there", "start", "length", "words")).alias("shared"))
     cuts = keep(each.mapInArrow(_align(min_words), "doc_id long, cuts array<struct<start:int,length:int>>"), "cuts")
-    drop(lines)
+    drop(lines, first)
     return cuts
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """The rows of docs, their texts without what repeats() found; all rows and columns stay, and a text may end up empty."""
     cuts = repeats(docs, min_words).select(F.col("doc_id").alias("__id"), F.col("cuts").alias("__cuts"))
-    both = docs.join(cuts, F.col("doc_id") == F.col("__id"), "left")
+    both = docs.join(cuts.hint("merge"), F.col("doc_id") == F.col("__id"), "left")  # cuts grow with docs: one plan at any size
     last = F.size("__cuts")
     at = lambda i: F.get("__cuts", i)
     begin = lambda i: F.when(i == 0, 0).otherwise(at(i - 1)["start"] + at(i - 1)["length"])

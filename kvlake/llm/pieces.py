@@ -13,11 +13,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Chunks that a worker's table holds before it starts afresh.
-TABLE_CHUNKS = 600_000
+#: Chunks that a worker's table holds before it starts afresh; bytes of text that it turns into ids at a time.
+TABLE_CHUNKS, STEP_BYTES = 400_000, 4 << 20
 
 _CHUNK = re.compile(r" +[^ ]*")
 
@@ -75,10 +77,11 @@ class Pieces:
             decoded = "".join([p[2] for p in parts])[1:]
             yield sum([p[1] for p in parts]) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
-    def coded(self, texts: list[str | None]) -> Iterator[tuple[list[int], str]]:
+    def coded(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str]]:
         """Ids with the end id, and the decoded text."""
         for parts in self.segmented(texts):
-            yield [*map(int, "".join([p[0] for p in parts]).split()), self.end], "".join([p[2] for p in parts])[1:]
+            ids = "".join([p[0] for p in parts]) + str(self.end)
+            yield np.fromiter(map(int, ids.split()), np.int32), "".join([p[2] for p in parts])[1:]
 
 
 _LOADED: dict[bytes, Pieces] = {}
@@ -101,6 +104,16 @@ def _model(path: str | None) -> bytes:
         return f.read()
 
 
+def _steps(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of some STEP_BYTES of text: ids of a whole batch, in Python, are many times its text."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    step = np.cumsum(size, dtype=np.int64) // STEP_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(batch)]
+    for start, end in zip(cuts, cuts[1:]):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 def digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text.
 
@@ -111,7 +124,7 @@ def digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _loaded(model)
-        for b in batches:
+        for b in (step for whole in batches for step in _steps(whole, 1)):
             made = list(pieces.digests(b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -125,10 +138,12 @@ def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _loaded(model)
-        for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            coded = list(pieces.coded(texts))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c[0] for c in coded], pa.list_(pa.int32())), pa.array([c[1] for c in coded], pa.string())], [*b.schema.names, "token_ids", "decoded"])
+        for whole in batches:
+            for b in _steps(whole, whole.schema.get_field_index("text")):
+                coded = list(pieces.coded(b.column("text").to_pylist()))
+                ends = np.cumsum([0, *(len(c[0]) for c in coded)], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([c[0] for c in coded])))
+                yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array([c[1] for c in coded], pa.string())], [*b.schema.names, "token_ids", "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, token_ids array<int>, decoded string")

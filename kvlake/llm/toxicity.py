@@ -77,15 +77,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 300) -> tupl
     n = len(y)
     weigh = np.where(y == 1, (n / max(1.0, 2 * y.sum())) ** 0.5, 1.0)
     weigh /= weigh.sum()
-    w, b = np.zeros(x.shape[1]), 0.0
+    w, b = np.zeros(x.shape[1], np.float32), 0.0
     v, c = w.copy(), b
-    step = 1.0 / (0.25 * float(((x**2).sum(axis=1) + 1) @ weigh) + l2)
+    step = 1.0 / (0.25 * float((np.einsum("ij,ij->i", x, x) + 1) @ weigh) + l2)
+    weigh = weigh.astype(np.float32)  # x is a float32 matrix: a wider vector would copy it whole at each product
+    y = y.astype(np.float32)
     for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ v + c, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ v + np.float32(c), -30, 30)))
         d = weigh * (p - y)
-        w2, b2 = v - step * (x.T @ d + l2 * v), c - step * d.sum()
+        w2, b2 = v - np.float32(step) * (x.T @ d + np.float32(l2) * v), c - step * float(d.sum())
         m = k / (k + 3)
-        v, c, w, b = w2 + m * (w2 - w), b2 + m * (b2 - b), w2, b2
+        v, c, w, b = w2 + np.float32(m) * (w2 - w), b2 + m * (b2 - b), w2, b2
     return w, b
 
 
@@ -135,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, l2:
     chosen, ratio = got["bucket"].to_numpy()[best].astype(np.int64), ratio[best]
 
     rows = read.mapInArrow(_present(chosen), "bits binary, toxic int, k long").toPandas().sort_values(["k", "toxic"])  # sample_rows * FEATURES bits at most
-    x = np.unpackbits(np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1), axis=1)[:, : len(chosen)].astype(np.float32) * ratio.astype(np.float32)
+    x = np.unpackbits(np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1), axis=1)[:, : len(chosen)].astype(np.float32)
+    x *= ratio.astype(np.float32)
     w, b = _logistic(x, rows["toxic"].to_numpy(np.float64), l2)
     return Model(chosen, w * ratio, b)
 
