@@ -1,10 +1,11 @@
 """Line dedup by pairwise alignment of documents that share lines.
 
-A line is a sentence of five words or more with the shorter ones before it, cut at newlines and at ends of
-sentences, so that where a passage is cut depends on the passage alone. Each line is known by a hash. A
-document is paired with the documents that first held its lines; the pair is aligned by patience diff -
-lines that each side has once, in the longest order both share, then their equal neighbours - and
-aligned blocks of MIN_BLOCK_WORDS words or more are deleted from the later document.
+A line starts after a newline, else where a sentence does, else, in long sentences, at a word whose hash is
+the least of its neighbourhood; no line has fewer than LINE_WORDS words, if its text has as many. Where a passage is
+cut depends on the passage alone but for a few words at its ends. Each line is known by a hash of its words and
+of how often they came before in its document. A document is paired with the documents that first held its
+lines; each pair is aligned by patience diff - lines that each side has once, in the longest order both share,
+then their equal neighbours - and aligned blocks of MIN_BLOCK_WORDS words or more are deleted from the later document.
 
 A line is not taken for rare by a cap on the documents that hold it: it leads to one earlier document, the
 first that held it, so a line in a third of all documents gives as many pairs as it has copies, and short chance
@@ -13,46 +14,71 @@ repeats are left alone because no block of theirs is long enough.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvlake.llm import minhash
 from kvlake.llm.shared import drop, keep
 
 LINE_WORDS, MIN_BLOCK_WORDS = 5, 20
-_END = re.compile(r"[.!?]+[ \t]+|\n|\Z")
-
-
-def lines_of(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, length, words, hash) of each line, in characters; together they are the text. Spaces count the words."""
-    out, start, before, words = [], 0, 0, 0
-    size, count, digest = len(text), text.count, xxhash.xxh3_64_intdigest
-    for m in _END.finditer(text):
-        end = m.end()
-        words += count(" ", before, end) + (m[0] == "\n" or not m[0])
-        before = end
-        if words >= LINE_WORDS or (end == size and end > start):
-            out.append((start, end - start, words, digest(text[start:end].strip()) - (1 << 63)))
-            start, words = end, 0
-    return out
+_STOP = np.zeros(256, bool)
+_STOP[[*b".!?"]] = True
+
+
+def _starts(raw: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The words that start a line. A word is preferred by what comes before it, then by hash; the least of LINE_WORDS to either side wins."""
+    near = LINE_WORDS - 1
+    n = len(h)
+    if n < 2 * LINE_WORDS:
+        return np.zeros(min(n, 1), int)
+    rank = h >> np.uint64(2)
+    rank[1:][_STOP[raw[end[:-1] - 1]]] >>= np.uint64(20)
+    breaks = np.concatenate(([0], np.cumsum(raw == 0x0A)))
+    rank[1:][breaks[start[1:]] > breaks[end[:-1]]] >>= np.uint64(40)
+    inner = rank[LINE_WORDS : n - near]
+    least = np.ones(len(inner), bool)
+    for k in range(1, LINE_WORDS):
+        least &= (inner < rank[LINE_WORDS - k : n - near - k]) & (inner <= rank[LINE_WORDS + k : n - near + k])
+    return np.concatenate(([0], np.flatnonzero(least) + LINE_WORDS))
+
+
+def lines_of(text: str) -> np.ndarray:
+    """Columns start, length (in characters), words, hash of each line; together they are the text. Without words there are none."""
+    encoded = text.encode("utf-8", "surrogatepass")
+    h, start, end = minhash.word_spans(encoded)
+    raw = np.frombuffer(encoded, np.uint8)
+    first = _starts(raw, h, start, end)
+    if not len(first):
+        return np.zeros((0, 4), np.int64)
+    stop = np.append(first[1:], len(h))
+    up, down = minhash.powers(len(h))
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)))
+    digest = (upto[stop] - upto[first]) * down[first] + (stop - first).astype(np.uint64)
+    by = np.argsort(digest, kind="stable")
+    fresh = np.concatenate(([True], digest[by][1:] != digest[by][:-1]))
+    before = np.arange(len(by)) - np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0))
+    digest[by] += before.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+    at = start[first]
+    if len(text) != len(raw):
+        at = np.cumsum((raw & 0xC0) != 0x80)[at] - 1
+    at[0] = 0
+    return np.column_stack((at, np.diff(np.append(at, len(text))), stop - first, minhash.mix(digest).view(np.int64)))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, cols = [], ([], [], [], [], [])
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found = lines_of(text or "")
-            for pos, (start, length, words, h) in enumerate(found):
-                ids.append(doc)
-                for c, v in zip(cols, (pos, start, length, words, h), strict=True):
-                    c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, [pa.int32()] * 4 + [pa.int64()], strict=True))], ["doc_id", "pos", "start", "length", "words", "h"])
+        found = [lines_of(text or "") for text in b.column(1).to_pylist()]
+        many = [len(x) for x in found]
+        ids = np.repeat(b.column(0).to_numpy(), many)
+        pos = np.concatenate([np.arange(n) for n in many] or [np.zeros(0, int)])
+        start, length, words, h = np.concatenate(found or [np.zeros((0, 4), np.int64)]).T
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c.astype(np.int32)) for c in (pos, start, length, words)), pa.array(h)], ["doc_id", "pos", "start", "length", "words", "h"])
 
 
 def patience(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -88,19 +114,18 @@ def _align(min_words: int):
                 for s in shared:
                     by.setdefault(s["first"], []).append((s["pos"], s["there"]))
                     span[s["pos"]] = (s["start"], s["length"], s["words"])
-                gone = set()
-                for points in by.values():
-                    aligned = patience(points)
-                    block: list[int] = []
-                    for k, (p, q) in enumerate(aligned):
-                        block.append(p)
-                        if k + 1 == len(aligned) or aligned[k + 1] != (p + 1, q + 1):
-                            if sum(span[x][2] for x in block) >= min_words:
-                                gone.update(block)
-                            block = []
+                aligned = sorted({p for points in by.values() for p, _ in patience(points)})
+                gone: list[int] = []
+                block: list[int] = []
+                for k, p in enumerate(aligned):
+                    block.append(p)
+                    if k + 1 == len(aligned) or aligned[k + 1] != p + 1:
+                        if sum(span[x][2] for x in block) >= min_words:
+                            gone += block
+                        block = []
                 if gone:
                     merged: list[list[int]] = []
-                    for p in sorted(gone):
+                    for p in gone:
                         start, length, _ = span[p]
                         if merged and sum(merged[-1]) == start:
                             merged[-1][1] += length

@@ -42,6 +42,16 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 _UP = _powers(int(_BASE), 4096)
 _DOWN = _powers(pow(int(_BASE), -1, 1 << 64), 4096)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse; tables of them grow as texts need."""
+    global _UP, _DOWN
+    if n > len(_UP):
+        _UP, _DOWN = _powers(int(_BASE), 2 * n), _powers(pow(int(_BASE), -1, 1 << 64), 2 * n)
+    return _UP[:n], _DOWN[:n]
+
+
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
 _XOR = _rng.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
@@ -49,38 +59,41 @@ _ODD = _rng.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32) | np.uint3
 _BAND = _rng.integers(0, 1 << 64, (1, ROWS), np.uint64) | np.uint64(1)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(32))
 
 
-def _hash_words(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of raw, a polynomial over its bytes by differences of one running sum."""
-    global _UP, _DOWN
+def _hash_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of raw, a polynomial over its bytes by differences of one running sum; first bytes; ends."""
     n = len(raw)
-    if n > len(_UP):
-        _UP, _DOWN = _powers(int(_BASE), 2 * n), _powers(pow(int(_BASE), -1, 1 << 64), 2 * n)
+    up, down = powers(n)
     b = np.frombuffer(raw, np.uint8)
     inside = np.concatenate(([False], ~_SPACE[b], [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
-    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _UP[:n], dtype=np.uint64)))
-    return _mix((upto[end] - upto[start]) * _DOWN[start])
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)))
+    return mix((upto[end] - upto[start]) * down[start]), start, end
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    raw = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes.lower() changes A-Z only
+def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of each word; long texts go in pieces that end between words."""
     if len(raw) <= _PIECE:
         return _hash_words(raw)
     out, at = [], 0
-    while at < len(raw):  # long texts in pieces that end between words
+    while at < len(raw):
         end = at + _PIECE
         while end < len(raw) and not _SPACE[raw[end]]:
             end += 1
-        out.append(_hash_words(raw[at:end]))
+        h, start, stop = _hash_words(raw[at:end])
+        out.append((h, start + at, stop + at))
         at = end
-    return np.concatenate(out)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    return word_spans((text or "").encode("utf-8", "surrogatepass").lower())[0]  # bytes.lower() changes A-Z only
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -89,12 +102,12 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     if not len(w):
         return w
     if len(w) < words:
-        return _mix((w * _MULTIPLY[: len(w)]).sum(keepdims=True) + np.uint64(len(w)))
+        return mix((w * _MULTIPLY[: len(w)]).sum(keepdims=True) + np.uint64(len(w)))
     n = len(w) - words + 1
     total = np.full(n, np.uint64(words))
     for k in range(words):
         total += w[k : k + n] * _MULTIPLY[k]
-    return np.unique(_mix(total))
+    return np.unique(mix(total))
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -121,7 +134,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = minima(s)
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             bits.append(np.packbits([m & 1, (m >> 1) & 1]).view(np.int64))
-            bands.append(_mix((m[: BANDS * ROWS].reshape(BANDS, ROWS) * _BAND).sum(axis=1)).view(np.int64))
+            bands.append(mix((m[: BANDS * ROWS].reshape(BANDS, ROWS) * _BAND).sum(axis=1)).view(np.int64))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bits", "bands"])
 
 

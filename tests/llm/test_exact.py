@@ -253,7 +253,21 @@ def test_pages_of_the_table(spark, sf_dir):
 def test_lines_cover_the_text():
     for _ in range(3000):
         t = "".join(rng.choice(["a", ". ", "\n", " ", "b c d e f", "!", "…"]) for _ in range(rng.randint(0, 15)))
-        assert "".join(t[s : s + n] for s, n, _, _ in lines.lines_of(t)) == t
+        cut = lines.lines_of(t)
+        assert "".join(t[s : s + n] for s, n, _, _ in cut) == (t if t.split() else "")
+        assert cut[:, 2].sum() == len(t.split()) and (len(cut) < 2 or cut[:, 2].min() >= lines.LINE_WORDS)
+
+
+def test_lines_depend_on_the_passage():
+    r = random.Random(3)
+    words = [f"w{i}é" for i in range(500)]
+    for _ in range(50):
+        passage = " ".join(r.choices(words, k=60))
+        held = []
+        for _ in range(2):
+            t = " ".join([*r.choices(words, k=r.randint(0, 40)), passage, *r.choices(words, k=r.randint(0, 40))])
+            held.append({h: n for _, _, n, h in lines.lines_of(t).tolist()})
+        assert sum(held[0][h] for h in held[0].keys() & held[1].keys()) >= lines.MIN_BLOCK_WORDS
 
 
 def brute_align(points):
@@ -285,6 +299,9 @@ def test_line_dedup(spark, edge, empty):
     assert out[1] == rows[0][1] and out[3] == own[4] and out[4] == ""
     assert "number 5" not in out[2] and own[2].split(". ")[0] in out[2]
     assert out[5] == rows[4][1] and out[6] == rows[5][1]  # a shared licence line alone is left
+    refrain = "And so they all came home again at last.\n" * 9 + own[0]  # each repeat of a line is a line of its own
+    again = spark.createDataFrame([(1, own[1] + "\n" + passage, "en", "s", 1), (2, refrain, "en", "s", 1), (3, f"{passage} {refrain}", "en", "s", 1)], DOC)
+    assert {r.doc_id: len(r.text) for r in lines.dedup_lines(again).collect()}[3] == 0
     wide = lines.dedup_lines(edge.withColumn("cuts", F.lit(1)).withColumn("first", F.lit(2)))
     assert wide.columns == [*edge.columns, "cuts", "first"] and wide.count() == edge.count()
     by = {r.doc_id: r.text for r in wide.filter("doc_id IN (6, 7)").collect()}

@@ -17,7 +17,7 @@ def rows_of(df):
 def brute_lines(rows):
     first, held = {}, {}
     for d, t, *_ in sorted(r for r in rows if r[0] is not None):
-        held[d] = lines.lines_of(t or "")
+        held[d] = lines.lines_of(t or "").tolist()
         for pos, (_, _, _, h) in enumerate(held[d]):
             first.setdefault(h, (d, pos))
     out = Counter()
@@ -27,14 +27,16 @@ def brute_lines(rows):
             for pos, (_, _, _, h) in enumerate(held[d]):
                 if first[h][0] != d:
                     by[first[h][0]].append((pos, first[h][1]))
+            aligned = {p for points in by.values() for p, _ in lines.patience(points)}
             gone = set()
-            for points in by.values():
-                run, block = lines.patience(points), []
-                for k, (p, q) in enumerate(run):
-                    block.append(p)
-                    if k + 1 == len(run) or run[k + 1] != (p + 1, q + 1):
-                        gone |= set(block) if sum(held[d][x][2] for x in block) >= lines.MIN_BLOCK_WORDS else set()
-                        block = []
+            for p in aligned:
+                lo = hi = p
+                while lo - 1 in aligned:
+                    lo -= 1
+                while hi + 1 in aligned:
+                    hi += 1
+                if sum(held[d][x][2] for x in range(lo, hi + 1)) >= lines.MIN_BLOCK_WORDS:
+                    gone.add(p)
             if gone:
                 t = "".join(t[s : s + m] for i, (s, m, _, _) in enumerate(held[d]) if i not in gone)
         out[(d, t, *rest)] += n
