@@ -1,11 +1,11 @@
 """Sharding by a two-pass external shuffle, with DataFrame functions only.
 
-Pass one scatters rows over memory-sized buckets by a seeded hash; pass two shuffles each bucket
-and gives every row its place in the whole order. The place alone decides the shard (law `rows`).
+Pass one scatters rows over memory-sized buckets by a seeded hash; pass two gathers each bucket in one task, in
+the order of a second seeded hash, and shuffles it there by Fisher-Yates swaps, which is what the seeded function
+`shuffle` does to an array. A row's place in the whole order alone decides its shard (law `rows`).
 
-The shuffle inside a bucket is a sort by a second seeded hash: every order is as likely as under
-Fisher-Yates swaps, but a task that is run again finds the same order, which swaps driven by a
-generator's state cannot promise when shuffled rows arrive in another order.
+A bucket is shuffled where it is written: a task that is run again after a lost executor writes the whole of its
+buckets, so no row is lost or comes twice.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of text in a bucket; a bucket is sorted by one task.
+#: Bytes of text in a bucket; a bucket is held by one task.
 BUCKET_BYTES = 4 << 20
 
 
@@ -26,26 +26,32 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 40, seed: int = 17, bucket_
     """Every row of docs, with shard_size, shard and slot; shards' row counts differ by one at most.
 
     Row i of the shuffled whole goes to shard i mod `shards`, slot i div `shards`, so slots are gapless from 0.
-    Null texts count 16 bytes. Rows whose key and text are both equal tie: they take the places of their
-    tie in any order, which gives the same set of rows. Null keys are scattered by their text. An empty
-    table gives no rows. Columns of docs named like a new one are replaced.
+    Null texts count 16 bytes. Rows are scattered by key and text, so null or repeated keys, and equal texts, spread
+    over the buckets; rows with both equal share one and take their places in any order, which gives the same
+    set of rows. An empty table gives no rows. Columns of docs named like a new one are replaced.
 
     One row per bucket is summed in one task to place the buckets; that is a millionth of the rows' bytes.
     """
     docs = docs.drop("shard_size", "shard", "slot")
-    total, rows = docs.agg(F.sum(size_of()), F.count(F.lit(1))).first()
+    total = docs.agg(F.sum(size_of())).first()[0]
     buckets = max(1, -(-int(total or 0) // bucket_bytes))
-    spread = F.when(F.col(key).isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(F.xxhash64(F.lit(seed), key))
-    scattered = docs.withColumn("__bucket", F.pmod(spread, F.lit(buckets)))
+    scattered = docs.select(
+        F.pmod(F.xxhash64(F.lit(seed), key, "text"), F.lit(buckets)).alias("__bucket"),
+        F.xxhash64(F.lit(seed + 1), key, "text").alias("__order"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+    )
     counts = scattered.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     starts = counts.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__start"))
-    mixed = Window.partitionBy("__bucket").orderBy(F.xxhash64(F.lit(seed + 1), key), key, "__text_hash")
-    ranked = scattered.withColumn("__text_hash", F.xxhash64("text")).withColumn("__rank", F.row_number().over(mixed) - 1)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: merged partitions would shuffle otherwise in each run
+    held = scattered.repartition(tasks, "__bucket").sortWithinPartitions("__bucket", "__order").groupBy("__bucket").agg(F.collect_list("__row").alias("__rows"))
+    mixed = held.select("__bucket", F.shuffle("__rows", seed).alias("__rows"))
+    placed = mixed.join(starts.hint("shuffle_hash"), "__bucket").select("__start", F.posexplode("__rows").alias("__rank", "__row"))
     at = F.col("__start") + F.col("__rank")
-    return (
-        ranked.join(starts, "__bucket")
-        .withColumns({"shard_size": size_of(), "shard": (at % shards).cast("int"), "slot": F.floor(at / shards).cast("long")})
-        .drop("__bucket", "__rank", "__start", "__text_hash")
+    return placed.select(
+        *[F.col("__row")[c].alias(c) for c in docs.columns],
+        size_of(F.col("__row")["text"]).alias("shard_size"),
+        (at % shards).cast("int").alias("shard"),
+        F.floor(at / shards).cast("long").alias("slot"),
     )
 
 
