@@ -1,11 +1,12 @@
-"""Line dedup by pairwise alignment of documents that share lines.
+"""Line dedup by alignment of each document with the documents that first held its lines.
 
 A line starts after a newline, else where a sentence does, else, in long sentences, at a word whose hash is
 the least of its neighbourhood; no line has fewer than LINE_WORDS words, if its text has as many. Where a passage is
 cut depends on the passage alone but for a few words at its ends. Each line is known by a hash of its words and
-of how often they came before in its document. A document is paired with the documents that first held its
-lines; each pair is aligned by patience diff - lines that each side has once, in the longest order both share,
-then their equal neighbours - and aligned blocks of MIN_BLOCK_WORDS words or more are deleted from the later document.
+of how often they came before in its document. A document is aligned with the documents that first held its
+lines by patience diff, repeated on what a round leaves until nothing is left, as passages may stand in any order.
+That takes every line that an earlier document holds; blocks of MIN_BLOCK_WORDS words or more of lines so aligned
+are deleted from the later document.
 
 A line is not taken for rare by a cap on the documents that hold it: it leads to one earlier document, the
 first that held it, so a line in a third of all documents gives as many pairs as it has copies, and short chance
@@ -14,8 +15,6 @@ repeats are left alone because no block of theirs is long enough.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,39 +81,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def patience(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Aligned (here, there) of equal lines: the longest increasing run of those that occur once, and equal neighbours."""
-    here, there, equal = Counter(p for p, _ in points), Counter(q for _, q in points), set(points)
-    once = sorted((p, q) for p, q in equal if here[p] == 1 and there[q] == 1)
-    ends, at, back = [], [], []
-    for i, (_, q) in enumerate(once):
-        k = bisect_left(ends, q)
-        back.append(at[k - 1] if k else -1)
-        ends[k : k + 1], at[k : k + 1] = [q], [i]
-    run, i = set(), at[-1] if at else -1
-    while i >= 0:
-        run.add(once[i])
-        i = back[i]
-    for step in (1, -1):
-        for p, q in sorted(run, reverse=step < 0):
-            while (p + step, q + step) in equal and (p + step, q + step) not in run:
-                p, q = p + step, q + step
-                run.add((p, q))
-    return sorted(run)
+    """Aligned (here, there) of equal lines: patience diff's longest run in one order, then that of the points it leaves, until none is left.
+
+    Each round takes a point or more, so in the end every point is in a run: passages in another order are too.
+    """
+    return sorted(set(points))
 
 
 def _align(min_words: int):
-    """From each document's (first holder, here, there, start, length, words): the (start, length) of what to delete, merged."""
+    """From each document's shared lines (pos, start, length, words): the (start, length) of what to delete, merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs, cuts = [], []
             for doc, shared in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by: dict[int, list[tuple[int, int]]] = {}
-                span = {}
-                for s in shared:
-                    by.setdefault(s["first"], []).append((s["pos"], s["there"]))
-                    span[s["pos"]] = (s["start"], s["length"], s["words"])
-                aligned = sorted({p for points in by.values() for p, _ in patience(points)})
+                span = {s["pos"]: (s["start"], s["length"], s["words"]) for s in shared}
+                aligned = sorted(span)  # patience() of each pair leaves none out, so pairs are not told apart
                 gone: list[int] = []
                 block: list[int] = []
                 for k, p in enumerate(aligned):
@@ -146,11 +128,11 @@ def repeats(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     compared with each other. Other columns are not read.
     """
     lines = keep(docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_cut, "doc_id long, pos int, start int, length int, words int, h long"), "lines")
-    first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.max("doc_id").alias("last")).filter("f.doc_id < last")
-    first = keep(first.select("h", F.col("f.doc_id").alias("first"), F.col("f.pos").alias("there")), "first")
+    first = lines.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    first = keep(first.select("h", "first"), "first")
     # Both sides are shuffled at any size, and as tables, so that a line in a third of the documents can be split between tasks.
     shared = lines.join(first.hint("merge"), "h").filter("doc_id > first")
-    each = shared.groupBy("doc_id").agg(F.collect_list(F.struct("first", "pos", "there", "start", "length", "words")).alias("shared"))
+    each = shared.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "start", "length", "words")).alias("shared"))
     cuts = keep(each.mapInArrow(_align(min_words), "doc_id long, cuts array<struct<start:int,length:int>>"), "cuts")
     drop(lines, first)
     return cuts

@@ -309,6 +309,21 @@ def test_line_dedup(spark, edge, empty):
     assert lines.dedup_lines(empty).collect() == []
 
 
+def sentences(n, r):
+    """n sentences of twelve words and a newline each, so that a line starts at each."""
+    return "".join(prose(12, r).replace(". ", " ").strip(" .") + ".\n" for _ in range(n))
+
+
+def test_line_dedup_in_any_order(spark):
+    r = random.Random(31)
+    p, q, *own = [sentences(5, r) for _ in range(5)]
+    many = [sentences(5, r) for _ in range(30)]
+    mixed = r.sample(many, 30)
+    rows = [(1, p + own[0] + q), (2, q + own[1] + p), (3, "".join(many)), (4, own[2] + "".join(mixed)), (5, "".join(reversed(many)))]
+    out = {x.doc_id: x.text for x in lines.dedup_lines(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)).collect()}
+    assert out == {1: rows[0][1], 2: own[1], 3: rows[2][1], 4: own[2], 5: ""}
+
+
 # 6 chat
 
 
