@@ -3,7 +3,8 @@
 A line starts after a newline, else where a sentence does, else, in long sentences, at a word whose hash is
 the least of its neighbourhood; no line has fewer than LINE_WORDS words, if its text has as many. Where a passage is
 cut depends on the passage alone but for a few words at its ends. Each line is known by a hash of its words and
-of how often they came before in its document. A document is aligned with the documents that first held its
+of how often they came just before, counted no further than makes a block: so copies of a passage anywhere in a document
+are the same lines, while a short line repeated on end is matched only by one repeated as long. A document is aligned with the documents that first held its
 lines by patience diff, repeated on what a round leaves until nothing is left, as passages may stand in any order.
 That takes every line that an earlier document holds; blocks of MIN_BLOCK_WORDS words or more of lines so aligned
 are deleted from the later document.
@@ -47,7 +48,7 @@ def _starts(raw: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray)
     return np.concatenate(([0], np.flatnonzero(least) + LINE_WORDS))
 
 
-def lines_of(text: str) -> np.ndarray:
+def lines_of(text: str, min_words: int = MIN_BLOCK_WORDS) -> np.ndarray:
     """Columns start, length (in characters), words, hash of each line; together they are the text. Without words there are none."""
     encoded = text.encode("utf-8", "surrogatepass")
     h, start, end = minhash.word_spans(encoded)
@@ -59,10 +60,10 @@ def lines_of(text: str) -> np.ndarray:
     up, down = minhash.powers(len(h))
     upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)))
     digest = (upto[stop] - upto[first]) * down[first] + (stop - first).astype(np.uint64)
-    by = np.argsort(digest, kind="stable")
-    fresh = np.concatenate(([True], digest[by][1:] != digest[by][:-1]))
-    before = np.arange(len(by)) - np.maximum.accumulate(np.where(fresh, np.arange(len(by)), 0))
-    digest[by] += before.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+    n = np.arange(len(digest))
+    fresh = np.concatenate(([True], digest[1:] != digest[:-1]))
+    before = np.minimum(n - np.maximum.accumulate(np.where(fresh, n, 0)), max(min_words - 1, 0) // (stop - first))
+    digest += before.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
     at = start[first]
     if len(text) != len(raw):
         at = np.cumsum((raw & 0xC0) != 0x80)[at] - 1
@@ -70,14 +71,17 @@ def lines_of(text: str) -> np.ndarray:
     return np.column_stack((at, np.diff(np.append(at, len(text))), stop - first, minhash.mix(digest).view(np.int64)))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = [lines_of(text or "") for text in b.column(1).to_pylist()]
-        many = [len(x) for x in found]
-        ids = np.repeat(b.column(0).to_numpy(), many)
-        pos = np.concatenate([np.arange(n) for n in many] or [np.zeros(0, int)])
-        start, length, words, h = np.concatenate(found or [np.zeros((0, 4), np.int64)]).T
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c.astype(np.int32)) for c in (pos, start, length, words)), pa.array(h)], ["doc_id", "pos", "start", "length", "words", "h"])
+def _cut(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [lines_of(text or "", min_words) for text in b.column(1).to_pylist()]
+            many = [len(x) for x in found]
+            ids = np.repeat(b.column(0).to_numpy(), many)
+            pos = np.concatenate([np.arange(n) for n in many] or [np.zeros(0, int)])
+            start, length, words, h = np.concatenate(found or [np.zeros((0, 4), np.int64)]).T
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c.astype(np.int32)) for c in (pos, start, length, words)), pa.array(h)], ["doc_id", "pos", "start", "length", "words", "h"])
+
+    return run
 
 
 def patience(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -127,7 +131,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     without doc_id. Equal texts of min_words words are cut whole from all but the first. Rows that repeat a doc_id aren't
     compared with each other. Other columns are not read.
     """
-    lines = keep(docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_cut, "doc_id long, pos int, start int, length int, words int, h long"), "lines")
+    lines = keep(docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_cut(min_words), "doc_id long, pos int, start int, length int, words int, h long"), "lines")
     first = lines.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     first = keep(first.select("h", "first"), "first")
     # Both sides are shuffled at any size, and as tables, so that a line in a third of the documents can be split between tasks.

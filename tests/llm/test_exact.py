@@ -324,6 +324,20 @@ def test_line_dedup_in_any_order(spark):
     assert out == {1: rows[0][1], 2: own[1], 3: rows[2][1], 4: own[2], 5: ""}
 
 
+def test_line_dedup_of_repeats(spark):
+    r = random.Random(32)
+    p, q, *own = [sentences(5, r) for _ in range(8)]
+    quote = "".join(p.splitlines(True)[1:3])
+    short = "These ten words are much too short for a block.\n"
+    pair = "A line of ten words that is held twice here.\n"
+    rows = [
+        (1, p + own[0] + short + own[1] + pair * 2), (2, p + own[2] + p + p), (3, own[3] + quote + own[4] + p), (4, own[5] + short * 5), (5, pair * 7),
+        (6, quote + q), (7, q * 2 + own[0]),
+    ]
+    out = {x.doc_id: x.text for x in lines.dedup_lines(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)).collect()}
+    assert out == {1: rows[0][1], 2: own[2], 3: own[3] + own[4], 4: rows[3][1], 5: "", 6: q, 7: ""}
+
+
 # 6 chat
 
 
