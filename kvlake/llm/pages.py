@@ -32,6 +32,10 @@ _NOISE = re.compile(
     r"search|searchbox|copyright|legal|disclaimer|tags|tagcloud|complementary|contentinfo|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: Of those the ones that no amount of text makes an article, unless they tell what a wrapper has.
+_OTHERS = re.compile(r"(?:^|[\s_-])(?<!with[_-])(?<!has[_-])(?<!no[_-])(?:comments?|commentlist|disqus|respond|replies|reply|cookies?|consent|gdpr|related|recommended|recommendations|outbrain|taboola)(?:$|[\s_-])", re.I)
+#: Why a node is noise: its tag or attributes hide it, its name does, its name is one of _OTHERS.
+_HIDES, _NAMED, _NAMED_OTHERS = 1, 2, 3
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 #: A start tag of the key closes an open one of the values, up to a barrier.
@@ -43,32 +47,33 @@ _SPACE = re.compile(r"\s+")
 class Node:
     __slots__ = ("tag", "up", "kids", "noise", "chars", "tags", "link_chars", "link_tags", "density")
 
-    def __init__(self, tag: str, up: Node | None, noise: bool):
+    def __init__(self, tag: str, up: Node | None, noise: int):
         self.tag, self.up, self.noise = tag, up, noise
         self.kids: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
 
-def _is_noise(tag: str, attrs: str) -> bool:
+def _is_noise(tag: str, attrs: str) -> int:
     if tag in _DROP:
-        return True
+        return _HIDES
     if not attrs or tag in ("html", "body", "main"):
-        return False
+        return 0
     if tag == "article":  # readers' comments are articles on some pages; other words name its topic or layout
-        return any(n.lower() in ("class", "id") and re.search(r"(?:^|[\s_\"'-])(?:comment|reply)", v, re.I) for n, v in _ATTR.findall(attrs))
+        return _HIDES * any(n.lower() in ("class", "id") and re.search(r"(?:^|[\s_\"'-])(?:comment|reply)", v, re.I) is not None for n, v in _ATTR.findall(attrs))
+    why = 0
     for name, value in _ATTR.findall(attrs):
         name = name.lower()
         if name in ("class", "id", "role", "itemtype") and _NOISE.search(unescape(value.strip("\"'"))):
-            return True
+            why = max(why, _NAMED_OTHERS if _OTHERS.search(unescape(value.strip("\"'"))) else _NAMED)
         if name == "hidden" or (name == "aria-hidden" and value.strip("\"'").lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-    return False
+            return _HIDES
+    return why
 
 
 def parse(html: str) -> Node:
     """A tree of the page: unclosed, misnested and unknown tags are taken as browsers mostly do."""
-    root = now = Node("#root", None, False)
+    root = now = Node("#root", None, 0)
     at, end = 0, len(html)
     while at < end:
         m = _TOKEN.search(html, at)
@@ -99,7 +104,7 @@ def parse(html: str) -> Node:
             if tag in _ARTICLE and not node.noise:  # a wrapper such as "with-sidebar" is not what it names
                 up = now
                 while up is not None:
-                    up.noise = up.noise and up.tag in _DROP
+                    up.noise *= up.tag in _DROP
                     up = up.up
             if tag in _RAW:
                 close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -120,6 +125,29 @@ def parse(html: str) -> Node:
     return root
 
 
+def _unname(root: Node) -> None:
+    """Without an article tag, a name is overruled where most of the page's text outside links stands under it.
+
+    Text under readers' and others' names counts only on pages that have no other.
+    """
+    for others in (_NAMED_OTHERS, 0):
+        held: dict[int, int] = {}
+        order, todo = [], [root]
+        while todo:
+            n = todo.pop()
+            order.append(n)
+            todo += [k for k in n.kids if isinstance(k, Node) and k.noise not in (_HIDES, others or _HIDES) and k.tag != "a"]
+        if any(n.tag in _ARTICLE for n in order):
+            return
+        for n in reversed(order):
+            held[id(n)] = sum(len(_SPACE.sub(" ", k).strip()) if isinstance(k, str) else held.get(id(k), 0) for k in n.kids)
+        if held[id(root)]:
+            for n in order:
+                if 2 * held[id(n)] > held[id(root)]:
+                    n.noise = 0
+            return
+
+
 def _walk(root: Node) -> list[Node]:
     """Nodes outside noise, parents first; without recursion, for pages nested to any depth."""
     out, todo = [], [root]
@@ -190,6 +218,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    _unname(root)
     nodes = measure(root)
     best, most = None, 0.0
     for n in nodes:

@@ -229,6 +229,15 @@ def test_main_text(html, text):
     assert pages.main_text(html) == text
 
 
+@pytest.mark.parametrize("name", ["content with-sidebar", "overflow-hidden", "page has-legal-notice", "post with-comments"])
+def test_names_do_not_hide_the_body_text(name):
+    rest = f'<div class="menu"><a>{LONG}</a></div><div class="footer"><p>All rights.</p></div>'
+    own = f'<div><h2>H</h2><p>{LONG}</p><p>{LONG}</p></div><div class="sidebar"><p>Aside.</p></div>'
+    assert pages.main_text(page(f'<div class="{name}">{own}</div>{rest}')) == f"H\n{LONG}\n{LONG}"
+    if "comments" not in name:
+        assert pages.main_text(page(f'<div class="{name}">{own}</div>{rest}<div class="comments">{f"<p>{LONG}</p>" * 9}</div>')) == f"H\n{LONG}\n{LONG}"
+
+
 def test_pages_rows(spark):
     deep = "<div>" * 5000 + "<p>deep</p>"
     rows = [(1, None, None, "x"), (None, "u", "<p>a</p>", "y"), (2, "u", "", None), (2, "u", "", None), (3, "v", page("<article><p>" + LONG * 20_000 + "</p></article>"), ""), (4, "w", deep, "")]
