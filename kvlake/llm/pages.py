@@ -180,8 +180,8 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def _blocks(top: Node, also: set[int]) -> list[str]:
-    """Texts of the blocks under top in page order; of nodes in `also`, and of noise, nothing."""
+def _blocks(top: Node) -> list[str]:
+    """Texts of the blocks under top in page order; of noise nothing."""
     out: list[str] = []
     line: list[str] = []
 
@@ -198,7 +198,7 @@ def _blocks(top: Node, also: set[int]) -> list[str]:
             line.append(n)
         elif done:
             flush()
-        elif not n.noise and id(n) not in also:
+        elif not n.noise:
             if n.tag == "br":
                 line.append(" ")
             if n.tag in _BLOCK:
@@ -240,17 +240,7 @@ def main_text(html: str | None) -> str:
             if up.tag in ("html", "#root") or any(k.link_chars * 2 > k.chars or k.density < threshold for k in beside):
                 break
             top = up
-    core, inside = set(map(id, path)), set()
-    todo = [k for k in top.kids if isinstance(k, Node)] if id(top) in core and top is not best else []
-    while todo:  # beside the core, leave out blocks of links
-        n = todo.pop()
-        if n is best or n.noise:
-            continue
-        if id(n) in core:
-            todo += [k for k in n.kids if isinstance(k, Node)]
-        elif n.tag in _BLOCK and n.link_chars * 2 > n.chars and n.link_tags > 1:
-            inside.add(id(n))
-    return "\n".join(_blocks(top, inside))
+    return "\n".join(_blocks(top))
 
 
 def extract(pages: DataFrame) -> DataFrame:

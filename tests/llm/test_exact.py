@@ -238,6 +238,13 @@ def test_names_do_not_hide_the_body_text(name):
         assert pages.main_text(page(f'<div class="{name}">{own}</div>{rest}<div class="comments">{f"<p>{LONG}</p>" * 9}</div>')) == f"H\n{LONG}\n{LONG}"
 
 
+@pytest.mark.parametrize("wrap", ["{}{}", "<div>{}</div>{}", "<div><div>{}</div></div>{}", "<div>{}{}</div>"])
+def test_links_in_an_article_stay(wrap):
+    sources = "<p><a href='#1'>First source of the text</a> and <a href='#2'>Second source of the text</a></p>"
+    body = wrap.format(f"<h2>H</h2><p>{LONG}</p><p>{LONG}</p>", sources)
+    assert pages.main_text(page(f"<article>{body}<ul class='related'><li><a>A</a></li></ul></article>")) == f"H\n{LONG}\n{LONG}\nFirst source of the text and Second source of the text"
+
+
 def test_pages_rows(spark):
     deep = "<div>" * 5000 + "<p>deep</p>"
     rows = [(1, None, None, "x"), (None, "u", "<p>a</p>", "y"), (2, "u", "", None), (2, "u", "", None), (3, "v", page("<article><p>" + LONG * 20_000 + "</p></article>"), ""), (4, "w", deep, "")]
