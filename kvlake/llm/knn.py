@@ -140,7 +140,7 @@ def search(q: CoverTree, q_ids: np.ndarray, x: CoverTree, x_ids: np.ndarray, bes
 
 
 def _packed(rows: int, k: int | None, lanes: int):
-    """Blocks of (id, vector) rows as (dim, lane, key, block); of equal vectors in a data block only the k + 1 smallest ids can matter."""
+    """Blocks of (id, vector) rows as (dim, lane, key, block); of equal vectors in a data block only the k rows of smallest ids can matter, besides those of any one id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -161,7 +161,11 @@ def _packed(rows: int, k: int | None, lanes: int):
                 by = np.argsort(which, kind="stable")
                 first = np.concatenate(([0], np.flatnonzero(np.diff(which[by])) + 1))
                 place = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
-                by = np.sort(by[place <= k])
+                run = np.concatenate(([0], np.flatnonzero(np.diff(which[by]) | np.diff(ids[by])) + 1))  # rows of one id and vector
+                many, base = np.diff(np.append(run, len(by))), which[by][run] * (len(by) + 1)
+                most = np.maximum.accumulate(base + many) - base
+                own = np.where(place[run] == 0, 0, np.append(0, most[:-1]))  # rows before these that one query may not count
+                by = np.sort(by[place - np.repeat(own, many) < k])
                 ids, v = ids[by], v[by]
             tree = CoverTree(v)
             made += 1

@@ -82,6 +82,16 @@ def test_top_k_random_and_ties(spark):
         assert {tuple(t) for t in got if t.query_id != 2250} == want and len(got) == len(set(got))
 
 
+def test_top_k_of_repeated_rows(spark):
+    r = random.Random(33)
+    rows = [(50, [0.5] * 3)] * 9 + [(i, [0.5] * 3) for i in range(51, 60)] + [(0, [0.25] * 3)] * 7 + [(100, [0.25] * 3)] * 7 + [(150, [0.25] * 3)] * 2
+    rows += [(r.randrange(0, 400, 25), [r.choice([0.125, -0.5])] * 3) for _ in range(150)]
+    whole = knn.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1))
+    for block in (16, 8192):
+        got = [tuple(t) for t in knn.top_k(whole.filter("vec_id % 50 = 0"), whole, 5, block_rows=block, block_queries=8).collect()]
+        assert sorted(got) == sorted(brute_top(rows))
+
+
 def test_top_k_empty(spark):
     none = knn.whole_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, rank int, score long"))
     assert knn.top_k(none, none).collect() == []
