@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvlake.llm.components import components
-from kvlake.llm.shared import drop, keep
+from kvlake.llm.shared import drop, keep, steps
 
 WORDS = 5
 HASHES, BANDS, ROWS = 128, 20, 5  # a pair at 0.85 shares no band once in 100,000 times, at 0.8 once in 3,000
@@ -31,7 +31,7 @@ BLOCK_CLASSES, BLOCK_SHINGLES = 256, 250_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -123,7 +123,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
-    for b in batches:
+    for b in steps(batches, 1):
         n, digest, bits, bands = [], [], [], []
         for text in b.column(1).to_pylist():
             s = shingle_set(text)
@@ -164,7 +164,7 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, of = None, None
-        for b in batches:
+        for b in steps(batches, 3):
             u, v, x, y = (c.to_pylist() for c in b.columns)
             ok = []
             for i in range(len(u)):

@@ -3,8 +3,8 @@
 No piece of the model has a whitespace marker after another character, so no merge crosses the start
 of a run of markers: a text falls into chunks, each a run of spaces and what follows, that are
 segmented independently. Each worker segments each distinct chunk once and joins ids back by position.
-The table lives in the worker, not in a shuffle: joining ids back across the cluster would move every
-word of the corpus, some six times the text.
+The table lives in the worker for as long as its task, not in a shuffle: joining ids back across the cluster would
+move every word of the corpus, some six times the text.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Chunks that a worker's table holds before it starts afresh; bytes of text that it turns into ids at a time.
-TABLE_CHUNKS, STEP_BYTES = 400_000, 4 << 20
+from kvlake.llm.shared import steps
+
+#: Chunks that a worker's table holds before it forgets those not in use.
+TABLE_CHUNKS = 200_000
 
 _CHUNK = re.compile(r" +[^ ]*")
 
@@ -39,10 +40,10 @@ class Pieces:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Put the distinct chunks of these texts into the table, all that it lacks in one call."""
-        new = list(set().union(*texts) - self.table.keys())
+        now = set().union(*texts)
+        new = list(now - self.table.keys())
         if len(self.table) + len(new) > TABLE_CHUNKS:
-            self.table.clear()
-            new = list(set().union(*texts))
+            self.table = {c: self.table[c] for c in now & self.table.keys()}
         ids = self.sp.encode([c[1:] for c in new])
         lone = [self.sp.piece_to_id("▁")]  # the library drops an empty text before it adds the marker
         ids = [i or lone for i in ids]
@@ -88,12 +89,24 @@ _LOADED: dict[bytes, Pieces] = {}
 
 
 def _loaded(model: bytes) -> Pieces:
-    """A worker's table outlives its task."""
+    """The model outlives its task, its table does not: workers are used again by other stages."""
     if model not in _LOADED:
         _LOADED[model] = Pieces(model)
+    _LOADED[model].table = {}
     return _LOADED[model]
 
 
+def _in_steps(model: bytes, batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[Pieces, pa.RecordBatch]]:
+    pieces = _loaded(model)
+
+    def last() -> Iterator[pa.RecordBatch]:
+        yield from batches
+        pieces.table = {}
+
+    for b in steps(last(), column):
+        yield pieces, b
+
+
 def _model(path: str | None) -> bytes:
     """The vocabulary file, half a megabyte, goes to the tasks with the code."""
     if path is None:
@@ -104,16 +117,6 @@ def _model(path: str | None) -> bytes:
         return f.read()
 
 
-def _steps(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of some STEP_BYTES of text: ids of a whole batch, in Python, are many times its text."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    step = np.cumsum(size, dtype=np.int64) // STEP_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(batch)]
-    for start, end in zip(cuts, cuts[1:]):
-        if end > start:
-            yield batch.slice(start, end - start)
-
-
 def digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text.
 
@@ -123,8 +126,7 @@ def digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     model = _model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _loaded(model)
-        for b in (step for whole in batches for step in _steps(whole, 1)):
+        for pieces, b in _in_steps(model, batches, 1):
             made = list(pieces.digests(b.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -132,18 +134,21 @@ def digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """The rows of docs with token_ids (array of int, end id last) and decoded; columns of those names are replaced."""
+    """The rows of docs with token_ids (array of int, end id last) and decoded; columns of those names are replaced.
+
+    A null text gives the end id alone and an empty decoded text. Rows are independent: null or repeated ids are passed on,
+    an empty table gives no rows.
+    """
     model = _model(model_path)
     docs = docs.drop("token_ids", "decoded")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _loaded(model)
-        for whole in batches:
-            for b in _steps(whole, whole.schema.get_field_index("text")):
-                coded = list(pieces.coded(b.column("text").to_pylist()))
-                ends = np.cumsum([0, *(len(c[0]) for c in coded)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([c[0] for c in coded])))
-                yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array([c[1] for c in coded], pa.string())], [*b.schema.names, "token_ids", "decoded"])
+        for pieces, b in _in_steps(model, batches, at):
+            coded = list(pieces.coded(b.column(at).to_pylist()))
+            ends = np.cumsum([0, *(len(c[0]) for c in coded)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([c[0] for c in coded])))
+            yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array([c[1] for c in coded], pa.string())], [*b.schema.names, "token_ids", "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, token_ids array<int>, decoded string")

@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kvlake.llm.shared import drop, keep, release, steps
+
 #: Labelled rows that the fit may use at most, hash buckets of n-grams, and n-grams that the model keeps.
 SAMPLE_ROWS, BUCKETS, FEATURES = 12_000, 1 << 18, 2048
 ORDERS = (3, 4, 5)
@@ -39,12 +40,13 @@ def buckets_of(text: str) -> Iterator[np.ndarray]:
 
 
 def held_out(key: str = "doc_id") -> Column:
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+    """Whether a row is kept from learning; a null key is."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, BUCKETS), np.int64)
-    for b in batches:
+    for b in steps(batches, 0):
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             seen = np.zeros(BUCKETS, bool)
             for h in buckets_of(text or ""):
@@ -59,7 +61,7 @@ def _present(chosen: np.ndarray):
     place[chosen] = np.arange(len(chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in steps(batches, 0):
             bits = []
             for text in b.column(0).to_pylist():
                 x = np.zeros(FEATURES, bool)
@@ -111,14 +113,16 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, l2: float = 1e-4, seed: int = 5) -> Model:
     """A model from labelled rows that are not held out.
 
-    Labels without doc_id or toxic take no part; of repeated labels the higher counts. With one class only, or
-    none, the model gives every text the share of toxic labels, and 0 without labels.
+    Labels without doc_id or toxic take no part; of repeated labels the higher counts. Documents that repeat a doc_id and
+    text are read once; of those that repeat a doc_id each text is a row, within sample_rows. With one class only, or
+    none, the model gives every text the share of toxic labels, and 0 without labels or documents.
     """
     usable = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out())
     usable = usable.groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").cast("int").alias("__toxic"))
     sample = usable.orderBy(F.xxhash64(F.lit(seed), "__id"), "__id").limit(sample_rows)
     chosen_rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))  # sample_rows rows of two numbers at most
     read = chosen_rows.select("text", F.col("__toxic").alias("toxic"), F.xxhash64("doc_id", "text").alias("k"))
+    read = keep(read.dropDuplicates(["k"]).orderBy("k").limit(sample_rows), "sample")
 
     found = read.select("text", "toxic").mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     got = found.toPandas().sort_values("bucket")  # BUCKETS rows at most
@@ -126,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, l2:
     many = {r["toxic"]: r["count"] for r in n}
     n0, n1 = many.get(0, 0), many.get(1, 0)
     if not n0 or not n1:
+        drop(read)
         share = n1 / max(1, n0 + n1)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     clean, toxic = got["clean"].to_numpy(float), got["toxic"].to_numpy(float)
@@ -137,6 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, l2:
     chosen, ratio = got["bucket"].to_numpy()[best].astype(np.int64), ratio[best]
 
     rows = read.mapInArrow(_present(chosen), "bits binary, toxic int, k long").toPandas().sort_values(["k", "toxic"])  # sample_rows * FEATURES bits at most
+    drop(read)
     x = np.unpackbits(np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1), axis=1)[:, : len(chosen)].astype(np.float32)
     x *= ratio.astype(np.float32)
     w, b = _logistic(x, rows["toxic"].to_numpy(np.float64), l2)
@@ -144,14 +150,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, l2:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs with toxic_score; null texts score as empty ones. A column of that name is replaced."""
-    table = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS doubles
+    """The rows of docs with toxic_score; null texts score as empty ones. A column of that name is replaced.
+
+    Rows are scored each by itself: null and repeated ids make no difference, equal texts score alike, and an empty table
+    gives no rows. The model goes to the tasks with the code.
+    """
     docs = docs.drop("toxic_score")
+    chosen = np.flatnonzero(model.table)
+    weights, bias = model.table[chosen], model.bias
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = table.value
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = Model(chosen, weights, bias)
         for texts in batches:
-            yield pd.Series([m.score(t) for t in texts], dtype="float64")
+            yield pa.array([m.score(t.as_py()) for t in texts], pa.float64())
+        release()
 
     return docs.withColumn("toxic_score", scores(F.coalesce("text", F.lit(""))))
