@@ -15,30 +15,20 @@ def rows_of(df):
 
 
 def brute_lines(rows):
-    first, held = {}, {}
-    for d, t, *_ in sorted(r for r in rows if r[0] is not None):
-        held[d] = lines.lines_of(t or "").tolist()
-        for pos, (_, _, _, h) in enumerate(held[d]):
-            first.setdefault(h, (d, pos))
+    """Every run of lines of MIN_BLOCK_WORDS words or more goes that one document of smaller id holds as a run, by trying all; lines are compared as words."""
+    cut, held = {}, defaultdict(dict)
+    for d, t, *_ in rows:
+        cut[d] = [(s, s + n, tuple(WORD.findall(t[s : s + n]))) for s, n, _, _ in lines.lines_of(t or "").tolist()]
+    every = {d: [(i, j) for i in range(len(c)) for j in range(i, min(i + 6, len(c))) if sum(len(x[2]) for x in c[i : j + 1]) >= lines.MIN_BLOCK_WORDS] for d, c in cut.items()}
+    for d, c in cut.items():
+        for i, j in every[d]:
+            held[tuple(x[2] for x in c[i : j + 1])][d] = True
     out = Counter()
     for (d, t, *rest), n in rows.items():
-        if d is not None:
-            by = defaultdict(list)
-            for pos, (_, _, _, h) in enumerate(held[d]):
-                if first[h][0] != d:
-                    by[first[h][0]].append((pos, first[h][1]))
-            aligned = {p for points in by.values() for p, _ in lines.patience(points)}
-            gone = set()
-            for p in aligned:
-                lo = hi = p
-                while lo - 1 in aligned:
-                    lo -= 1
-                while hi + 1 in aligned:
-                    hi += 1
-                if sum(held[d][x][2] for x in range(lo, hi + 1)) >= lines.MIN_BLOCK_WORDS:
-                    gone.add(p)
-            if gone:
-                t = "".join(t[s : s + m] for i, (s, m, _, _) in enumerate(held[d]) if i not in gone)
+        c = cut[d]
+        gone = {x for i, j in every[d] if min(held[tuple(x[2] for x in c[i : j + 1])]) < d for x in range(i, j + 1)}
+        if gone:
+            t = "".join(t[s:e] for k, (s, e, _) in enumerate(c) if k not in gone)
         out[(d, t, *rest)] += n
     return out
 
