@@ -1,11 +1,13 @@
 """Exact top-k by inner product: a dual-tree search over cover trees.
 
 Rows are packed where they lie into blocks of bounded size, each with a cover tree; queries likewise.
-Every query block meets every data block. A pair of nodes (group of queries, group of rows) is bounded
-by the centres' product and both covering radii, and pruned once that bound is below the worst kth
-score of the group of queries; what is left of a pair of leaves is one small matrix product.
-Query blocks are sent to `lanes`, among which data blocks are dealt, so that data move once; within a lane a
-query block keeps its kth scores from one data block to the next.
+A pair of nodes (group of queries, group of rows) is bounded by the centres' product and both covering radii, and by
+their longest vectors, and pruned once that bound is below the worst kth score of the group of queries. Of a pair of leaves
+the queries go on that the leaf's ball may still serve, and what is left is one small matrix product.
+
+Query blocks form groups that a task can hold, and data blocks are dealt to lanes. A task takes one group and one lane:
+it holds the group's trees with their kth scores, while the lane's blocks stream through. So a data block is sent
+once for each group of queries, GROUP_BLOCKS blocks of them, and no row carries a block of either side for a block of the other.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 #: Rows in a block, queries in a block, and points in a leaf.
 BLOCK_ROWS, BLOCK_QUERIES, LEAF = 8192, 1024, 128
-#: Children of a node at most.
-FAN = 16
+#: Children of a node at most; blocks of queries that a task holds.
+FAN, GROUP_BLOCKS = 16, 32
 
 
 class CoverTree:
@@ -76,6 +78,8 @@ class CoverTree:
                 todo.append((kid, d))
                 at += len(g)
         self.points = points[self.order]
+        norms = np.sqrt(norms[self.order])
+        self.longest = np.array([norms[a:b].max(initial=0) for a, b in zip(self.lo, self.hi)])
         self.centres = points[centre] if n else points[:0]
         self.lengths = np.sqrt((self.centres * self.centres).sum(axis=1))
         self.radii = np.array(self.radius)
@@ -90,27 +94,31 @@ class Best:
         self.score = np.full((n, k), -np.inf)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
 
-    def take(self, lo: int, hi: int, score: np.ndarray, ids: np.ndarray) -> None:
+    def take(self, of: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         k = self.score.shape[1]
-        hit = np.flatnonzero((score >= self.score[lo:hi, -1:]).any(axis=1))
+        hit = np.flatnonzero((score >= self.score[of, -1:]).any(axis=1))
         if not len(hit):
             return
-        s = np.concatenate((self.score[lo + hit], score[hit]), axis=1)
-        i = np.concatenate((self.id[lo + hit], np.broadcast_to(ids, (len(hit), len(ids)))), axis=1)
+        s = np.concatenate((self.score[of[hit]], score[hit]), axis=1)
+        i = np.concatenate((self.id[of[hit]], np.broadcast_to(ids, (len(hit), len(ids)))), axis=1)
         top = np.lexsort((i, -s), axis=1)[:, :k]
-        self.score[lo + hit], self.id[lo + hit] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+        self.score[of[hit]], self.id[of[hit]] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
 
 
 def search(q: CoverTree, q_ids: np.ndarray, x: CoverTree, x_ids: np.ndarray, best: Best) -> int:
-    """Bring best up to date with the rows of x; the number of leaf pairs that were computed."""
+    """Bring best up to date with the rows of x; the number of products of one query and one row that were computed."""
+
+    def loose(up: np.ndarray) -> np.ndarray:
+        return up + 1e-9 * np.abs(up) + 1e-6  # rounding must not prune a tie
 
     def bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         ra, rb = q.radii[a][:, None], x.radii[b][None, :]
         up = q.centres[a] @ x.centres[b].T + ra * x.lengths[b][None, :] + rb * q.lengths[a][:, None] + ra * rb
-        return up + 1e-9 * np.abs(up) + 1e-6  # rounding must not prune a tie
+        return loose(np.minimum(up, q.longest[a][:, None] * x.longest[b][None, :]))
 
     if not len(q.points) or not len(x.points):
         return 0
+    size = np.sqrt((q.points * q.points).sum(axis=1))
     done, tick = 0, 0
     zero = np.zeros(1, int)
     todo = [(-float(bounds(zero, zero)[0, 0]), 0, 0, 0)]
@@ -120,12 +128,13 @@ def search(q: CoverTree, q_ids: np.ndarray, x: CoverTree, x_ids: np.ndarray, bes
             continue
         ka, kb = q.kids[a], x.kids[b]
         if not len(ka) and not len(kb):
-            done += 1
-            rows = slice(x.lo[b], x.hi[b])
-            s = q.points[q.lo[a] : q.hi[a]] @ x.points[rows].T
-            own = q_ids[q.lo[a] : q.hi[a], None] == x_ids[None, rows]
-            s[own] = -np.inf
-            best.take(q.lo[a], q.hi[a], s, x_ids[rows])
+            lo, rows = q.lo[a], slice(x.lo[b], x.hi[b])
+            near = loose(q.points[lo : q.hi[a]] @ x.centres[b] + size[lo : q.hi[a]] * x.radii[b])
+            ask = lo + np.flatnonzero(near >= best.score[lo : q.hi[a], -1])
+            done += len(ask) * (rows.stop - rows.start)
+            s = q.points[ask] @ x.points[rows].T
+            s[q_ids[ask, None] == x_ids[None, rows]] = -np.inf
+            best.take(ask, s, x_ids[rows])
             continue
         if len(kb) and (not len(ka) or x.radii[b] >= q.radii[a]):
             ka = np.array([a])
@@ -168,6 +177,8 @@ def _packed(rows: int, k: int | None, lanes: int):
                 by = np.sort(by[place - np.repeat(own, many) < k])
                 ids, v = ids[by], v[by]
             tree = CoverTree(v)
+            if np.array_equal(tree.points, tree.points.astype(np.float32)):
+                tree.points = tree.points.astype(np.float32)  # for the way; products are of doubles
             made += 1
             return pa.RecordBatch.from_arrays(
                 [pa.array([dim]), pa.array([(part + 7919 * (made - 1)) % lanes]), pa.array([part * 1_000_000 + made]), pa.array([pickle.dumps((ids[tree.order], tree), 5)], pa.binary())],
@@ -198,25 +209,27 @@ _LONG = (1 << 63) - 1
 
 def _answers(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, tree, best = None, None, None, None
+        now, held = None, []
 
-        def told() -> pa.RecordBatch:
-            got = np.isfinite(best.score)
-            clipped = [max(-_LONG, min(_LONG, int(s))) for s in best.score[got]]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[got.ravel()]), pa.array(best.id[got]), pa.array(clipped, pa.int64())], ["query_id", "vec_id", "score"])
+        def told() -> Iterator[pa.RecordBatch]:
+            for ids, _, best in held:
+                got = np.isfinite(best.score)
+                clipped = [max(-_LONG, min(_LONG, int(s))) for s in best.score[got]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[got.ravel()]), pa.array(best.id[got]), pa.array(clipped, pa.int64())], ["query_id", "vec_id", "score"])
 
         for b in batches:
-            for key, queries, data in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                if key != now:
-                    if now is not None:
-                        yield told()
-                    now = key
-                    ids, tree = pickle.loads(queries.as_py())
-                    best = Best(len(ids), k)
-                x_ids, x = pickle.loads(data.as_py())
-                search(tree, ids, x, x_ids, best)
-        if now is not None:
-            yield told()
+            for cell, side, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if cell != now:
+                    yield from told()
+                    now, held = cell, []
+                ids, tree = pickle.loads(block.as_py())
+                tree.points = tree.points.astype(np.float64)
+                if side == 0:
+                    held.append((ids, tree, Best(len(ids), k)))
+                else:
+                    for q_ids, q, best in held:
+                        search(q, q_ids, tree, ids, best)
+        yield from told()
 
     return run
 
@@ -233,15 +246,17 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5, block_rows: int = BLO
     spark = data.sparkSession
     data = data.select("vec_id", "v").filter("vec_id IS NOT NULL AND v IS NOT NULL")
     asked = queries.select("vec_id", "v").filter("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = data.count()
+    n, m = data.count(), asked.count()
+    groups = max(1, -(-m // (block_queries * GROUP_BLOCKS)))
     lanes = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // block_rows)))
     kind = "dim long, lane long, key long, block binary"
     x = data.mapInArrow(_packed(block_rows, k, lanes), kind)
-    parts = max(1, min(lanes, asked.count() // block_queries))
-    q = asked.coalesce(parts).sortWithinPartitions("vec_id").mapInArrow(_packed(block_queries, None, 1), kind)
-    q = q.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"), F.col("key").alias("q"), F.col("block").alias("queries"))
-    met = q.join(x, ["dim", "lane"]).select(F.concat_ws("/", "dim", "lane", "q").alias("k"), "queries", "block", "key")
-    met = met.sortWithinPartitions("k", "key").select("k", "queries", "block")
+    q = asked.coalesce(max(1, min(lanes * groups, m // block_queries))).sortWithinPartitions("vec_id").mapInArrow(_packed(block_queries, None, groups), kind)
+    every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))
+    q = q.select("dim", F.col("lane").alias("group"), every(lanes).alias("lane"), F.lit(0).alias("side"), "key", "block")
+    x = x.select("dim", every(groups).alias("group"), "lane", F.lit(1).alias("side"), "key", "block")
+    met = q.union(x).select(F.concat_ws("/", "dim", "group", "lane").alias("cell"), "side", "key", "block")
+    met = met.repartition("cell").sortWithinPartitions("cell", "side", "key").select("cell", "side", "block")
     found = met.mapInArrow(_answers(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
