@@ -56,7 +56,7 @@ def examples(turns: DataFrame) -> DataFrame:
 def turns_of(formatted: Column) -> Column:
     """Read a formatted example back: array of (role, text), unescaped."""
     parts = F.split(formatted, r"<\|im_end\|>\n")
-    split = r"(?s)^<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*)$"
+    split = r"(?s)^<\|im_start\|>((?:[^\\\n]++|\\.)*+)\n(.*)$"  # possessive: no recursion, however long a role is
     return F.transform(
         F.slice(parts, F.lit(1), F.size(parts) - 1),
         lambda p: F.struct(unescape(F.regexp_extract(p, split, 1)).alias("role"), unescape(F.regexp_extract(p, split, 2)).alias("text")),
