@@ -2,7 +2,8 @@
 
 Slot i of the schedule takes the point frac((i + 1) * golden ratio) and maps it through the cumulative
 target shares to a source; its rank among that source's slots names the block it takes. A source's
-blocks are cut from its documents in a seeded order, once per epoch, three epochs at most.
+blocks are cut from its documents in a seeded order, once per epoch, three epochs at most, up to its target: the last
+block is a part of one. What the points leave of a target, a few blocks at most, comes in slots after the others.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvlake.llm.shared import WORD_GAP, keep
+from kvlake.llm.shared import WORD_GAP, keep, running
 
 #: Words in a block; and documents or slots that one task ranks together.
 BLOCK_WORDS = 64
@@ -47,10 +48,10 @@ def targets(sizes: list[tuple[str | None, int]], weights=(1.0, 2.0, 3.0), most:
     return [(*order[i], out[i]) for i in range(len(order))]
 
 
-def _running(df: DataFrame, group: str, part: str, order: list, value: str, name: str) -> DataFrame:
-    """Running sum of `value` before each row of a group, in (part, order): parts are summed first, so no task holds a group."""
-    before = df.groupBy(group, part).agg(F.sum(value).alias("__s"))
-    before = before.select(F.col(group).alias("__g"), F.col(part).alias("__p"), (F.sum("__s").over(Window.partitionBy(group).orderBy(part)) - F.col("__s")).alias("__before"))
+def _running(df: DataFrame, group: str, part: str, order: list, value: str, name: str, parts: int) -> DataFrame:
+    """Running sum of `value` before each row of a group, in (part, order), parts being below `parts`: they are summed first, so no task holds a group."""
+    before = running(df.groupBy(group, part).agg(F.sum(value).alias("__s")), part, "__s", "__before", parts, (group,))
+    before = before.select(F.col(group).alias("__g"), F.col(part).alias("__p"), "__before")
     inside = F.sum(value).over(Window.partitionBy(group, part).orderBy(*order)) - F.col(value)
     return df.withColumn("__inside", inside).join(before, (F.col(group) == F.col("__g")) & (F.col(part) == F.col("__p"))).withColumn(name, F.col("__before") + F.col("__inside")).drop("__g", "__p", "__before", "__inside")
 
@@ -62,11 +63,12 @@ def schedule(docs: DataFrame, weights=(1.0, 2.0, 3.0), most: int = 3, block: int
     document's words. sized: every row of docs as row_no, doc_id, source_no, size. sources: source_no, source,
     source_size, target. Only one row per source reaches the driver; a source needs a weight, so they are few.
 
-    Null and empty texts have size 0 and give no piece. Rows that repeat a doc_id are separate documents. Equal
-    texts differ in order by doc_id. An empty table, or texts without words, give no pieces.
+    Each source's pieces add up to its target, rounded. Null and empty texts have size 0 and give no piece. Rows that
+    repeat a doc_id are separate documents; rows with a null doc_id are ordered by text. Equal texts differ in order by
+    doc_id. Rows equal in both are ordered together, in any order. An empty table, or texts without words, give no pieces.
     """
     spark = docs.sparkSession
-    sized = keep(docs.select("doc_id", "source", word_count().alias("size")).withColumn("row_no", F.monotonically_increasing_id()), "sizes")
+    sized = keep(docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("doc_id", "text").alias("__own")).withColumn("row_no", F.monotonically_increasing_id()), "sizes")
     told = targets([(s, int(n)) for s, n in sized.groupBy("source").agg(F.sum("size")).collect()], weights, most)
     total = sum(n for _, n, _ in told)
     sources = spark.createDataFrame([(i, s, n, float(t)) for i, (s, n, t) in enumerate(told)], "source_no int, source string, source_size long, target double")
@@ -82,20 +84,27 @@ def schedule(docs: DataFrame, weights=(1.0, 2.0, 3.0), most: int = 3, block: int
         if told[i][2] > 0:
             pick = F.when(point < ends[i], F.lit(i)).otherwise(pick)
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), pick.alias("source_no"), F.floor(F.col("id") / RANKED_TOGETHER).alias("part"), F.lit(1).cast("long").alias("one"))
-    slots = _running(slots, "source_no", "part", ["slot"], "one", "rank").select("slot", "source_no", "rank")
 
-    parts = F.broadcast(spark.createDataFrame([(i, max(1, n // (RANKED_TOGETHER * 50)), n) for i, (_, n, _) in enumerate(told)], "source_no int, parts long, of long"))
+    spread = [max(1, n // (RANKED_TOGETHER * 50)) for _, n, _ in told]
+    limits = F.broadcast(spark.createDataFrame([(i, p, round(t)) for i, (p, (_, _, t)) in enumerate(zip(spread, told, strict=True))], "source_no int, parts long, most long"))  # a row per source
+    due = limits.select("source_no", F.floor((F.col("most") + (block - 1)) / block).alias("due"))
+    late = due.join(slots.groupBy("source_no").count(), "source_no", "left").select("source_no", "due", F.coalesce("count", F.lit(0)).alias("n")).filter("n < due")
+    late = late.select("source_no", F.explode(F.sequence("n", F.col("due") - 1)).alias("rank"))
+    late = late.select((F.lit(n_slots) + F.col("rank") * len(told) + F.col("source_no")).alias("slot"), "source_no", "rank")
+    slots = _running(slots, "source_no", "part", ["slot"], "one", "rank", n_slots // RANKED_TOGETHER + 1).select("slot", "source_no", "rank").union(late)
+
     epochs = F.explode(F.array(*[F.lit(e) for e in range(most)]))
-    stream = sized.filter("size > 0").join(parts, "source_no").withColumn("epoch", epochs)
-    stream = stream.withColumn("key", F.xxhash64(F.lit(seed), "epoch", "doc_id"))
+    stream = sized.filter("size > 0").join(limits, "source_no").withColumn("epoch", epochs)
+    stream = stream.withColumn("key", F.xxhash64(F.lit(seed), "epoch", "__own"))
     stream = stream.withColumn("part", F.col("epoch") * F.col("parts") + F.pmod(F.shiftright("key", 20), F.col("parts")))
-    stream = _running(stream, "source_no", "part", ["key", "doc_id", "row_no"], "size", "at")
-    cut = stream.withColumn("rank", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))
+    stream = _running(stream, "source_no", "part", ["key", "doc_id", "row_no"], "size", "at", most * max(spread, default=1)).filter(F.col("at") < F.col("most"))
+    stream = stream.withColumn("end", F.least(F.col("at") + F.col("size"), F.col("most")))
+    cut = stream.withColumn("rank", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block))))
     first = F.greatest(F.col("rank") * block, F.col("at"))
-    last = F.least((F.col("rank") + 1) * block, F.col("at") + F.col("size"))
+    last = F.least((F.col("rank") + 1) * block, F.col("end"))
     cut = cut.select("source_no", "rank", "doc_id", "row_no", "epoch", (first - F.col("at")).alias("first"), (last - first).alias("words"))
     pieces = slots.join(cut, ["source_no", "rank"]).select("slot", "source_no", "doc_id", "row_no", "epoch", "first", "words")
-    return pieces, sized, sources
+    return pieces, sized.drop("__own"), sources
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
