@@ -82,8 +82,7 @@ def running(df: DataFrame, order: str, value: str, name: str, upto: int, group:
     before = sums.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col(run).alias("__r"), "__before")
     inside = F.sum(value).over(Window.partitionBy(*group, run).orderBy(order)) - F.col(value)
     on = [F.col(run) == F.col("__r"), *(F.col(g) == F.col(f"__g_{g}") for g in group)]
-    out = cut.withColumn("__inside", inside).join(before, on).withColumn(name, F.col("__before") + F.col("__inside"))
-    return out.drop("__inside", "__before", "__r", run, *[f"__g_{g}" for g in group])
+    return cut.withColumn("__inside", inside).join(before, on).select(*df.columns, (F.col("__before") + F.col("__inside")).alias(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
