@@ -5,9 +5,11 @@ smallest and largest are user keys here; internal keys order as struct(k, -seq).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kvlake.operators.ordered import Ranges, at_or_below, islands, nearest, ranges, running, running_sum
+
 LEVELS = 7
 BASE_BYTES = 10 << 20
 FILE_BYTES = 2 << 20
@@ -54,9 +56,30 @@ def pick_file(files: DataFrame, level: int, pointer=None) -> DataFrame:
     return own.orderBy(F.desc(after), "smallest", "num").limit(1)
 
 
+def _spread(files: DataFrame, cut: Ranges) -> DataFrame:
+    """files once for each range of keys that they meet: with __cell, and __first, that of their smallest key."""
+    first, last = (cut.of([F.col(c).alias("k")]) for c in ("smallest", "largest"))
+    return files.withColumn("__first", first).withColumn("__cell", F.explode(F.sequence("__first", last)))
+
+
 def holding(files: DataFrame, probes: DataFrame) -> DataFrame:
-    """probe k joined to the files whose range holds it, files being few and probes many: k, level, num, newest first by num."""
-    return probes.select("k").join(files, (F.col("k") >= F.col("smallest")) & (F.col("k") <= F.col("largest"))).select("k", "level", "num")
+    """probe k joined to the files whose range holds it: k, level, num.
+
+    Files are dealt to the ranges of keys that they meet, probes to theirs, and only those of one range are compared: neither
+    side is sent whole to every task.
+    """
+    cut = ranges(files.select(F.col("smallest").alias("k")), ["k"])
+    probes = probes.select("k").withColumn("__cell", cut.of(["k"]))
+    return probes.join(_spread(files, cut), "__cell").filter((F.col("k") >= F.col("smallest")) & (F.col("k") <= F.col("largest"))).select("k", "level", "num")
+
+
+def _overlaps(upper: DataFrame, lower: DataFrame, files: DataFrame) -> DataFrame:
+    """Pairs of files, columns a_* and b_*, that overlap; each pair is met in the range where the later of the two begins."""
+    cut = ranges(files.select(F.col("smallest").alias("k")), ["k"])
+    a, b = (_spread(x, cut).select("__cell", "__first", "level", "num", "size", "smallest", "largest") for x in (upper, lower))
+    a, b = (x.select("__cell", *[F.col(c).alias(f"{n}_{c.strip('_')}") for c in x.columns[1:]]) for n, x in (("a", a), ("b", b)))
+    both = a.join(b, "__cell").filter(F.col("__cell") == F.greatest("a_first", "b_first"))
+    return both.filter((F.col("b_smallest") <= F.col("a_largest")) & (F.col("b_largest") >= F.col("a_smallest")))
 
 
 def pruned(files: DataFrame, probes: DataFrame) -> DataFrame:
@@ -66,8 +89,8 @@ def pruned(files: DataFrame, probes: DataFrame) -> DataFrame:
 
 def first_reaching(files: DataFrame, probes: DataFrame) -> DataFrame:
     """For each probe the first file, in key order, that ends at or after it: k, num (null if none)."""
-    hit = probes.select("k").distinct().join(files.select("smallest", "largest", "num"), F.col("largest") >= F.col("k"), "left")
-    return hit.groupBy("k").agg(F.min_by("num", F.struct("largest", "num")).alias("num"))
+    ends = files.groupBy(F.col("largest").alias("k")).agg(F.min("num").alias("num"))
+    return nearest(ends, probes).select("k", F.col("ceil.num").alias("num"))
 
 
 def overlapping(files: DataFrame, low=None, high=None) -> DataFrame:
@@ -84,26 +107,32 @@ def overlapping_closed(files: DataFrame, low=None, high=None) -> DataFrame:
 
     An island ends where no earlier file reaches the next one's smallest key, so no iteration is needed.
     """
-    before = Window.orderBy("smallest", "largest", "num").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.orderBy("smallest", "largest", "num").rowsBetween(Window.unboundedPreceding, 0)
-    new = F.coalesce(F.max("largest").over(before) < F.col("smallest"), F.lit(True)).cast("int")
-    tagged = files.withColumn("__new", new).withColumn("__island", F.sum("__new").over(upto)).drop("__new")
-    hit = overlapping(tagged, low, high).select("__island").distinct()
-    return tagged.join(F.broadcast(hit), "__island", "left_semi").drop("__island")
+    tagged = islands(files, "smallest", "largest", ["num"])
+    return tagged.join(overlapping(tagged, low, high).select("island").distinct(), "island", "left_semi").select(*files.columns)
 
 
 def next_level_overlap(files: DataFrame) -> DataFrame:
     """For each file of levels 1 to 5 the bytes of the next level's files that it overlaps: level, num, bytes."""
-    a, b = files.filter("level BETWEEN 1 AND 5").alias("a"), files.alias("b")
-    on = (F.col("b.level") == F.col("a.level") + 1) & (F.col("b.smallest") <= F.col("a.largest")) & (F.col("b.largest") >= F.col("a.smallest"))
-    return a.join(b, on, "left").groupBy(F.col("a.level").alias("level"), F.col("a.num").alias("num")).agg(F.coalesce(F.sum("b.size"), F.lit(0)).cast("long").alias("bytes"))
+    own = files.filter("level BETWEEN 1 AND 5")
+    found = _overlaps(own, files, files).filter("b_level = a_level + 1").groupBy(F.col("a_level").alias("level"), F.col("a_num").alias("num")).agg(F.sum("b_size").alias("b"))
+    return own.select("level", "num").join(found, ["level", "num"], "left").select("level", "num", F.coalesce("b", F.lit(0)).cast("long").alias("bytes"))
+
+
+def max_next_level_overlap(files: DataFrame) -> DataFrame:
+    """The most bytes of the next level that a file overlaps: bytes, 0 without files."""
+    return next_level_overlap(files).agg(F.coalesce(F.max("bytes"), F.lit(0)).cast("long").alias("bytes"))
 
 
 def approximate_offset(files: DataFrame, probes: DataFrame, inside: Column | None = None) -> DataFrame:
-    """Bytes of files that end at or before each probe, and `inside` of those that hold it: k, offset."""
-    part = F.lit(0) if inside is None else inside
-    size = F.when(F.col("largest") <= F.col("k"), F.col("size")).when((F.col("smallest") <= F.col("k")), part).otherwise(F.lit(0))
-    return probes.select("k").distinct().join(files, F.lit(True)).groupBy("k").agg(F.sum(size).cast("long").alias("offset"))
+    """Bytes of files that end at or before each probe, and `inside`, an expression over k and a file, of those that hold it: k, offset."""
+    ends = files.groupBy(F.col("largest").alias("k")).agg(F.sum("size").alias("size"))
+    ends = running_sum(ends, ["k"], F.col("size"), "before").select("k", (F.col("before") + F.col("size")).alias("upto"))
+    past = at_or_below(ends, probes).select("k", F.coalesce(F.col("hit.upto"), F.lit(0)).cast("long").alias("offset"))
+    if inside is None:
+        return past
+    held = holding(files.filter("smallest < largest"), past.select("k")).join(files, ["level", "num"]).filter("k < largest")
+    part = held.groupBy("k").agg(F.sum(inside).alias("__part"))
+    return past.join(part, "k", "left").select("k", (F.col("offset") + F.coalesce("__part", F.lit(0))).cast("long").alias("offset"))
 
 
 def output_level(files: DataFrame, low, high, most: int = 20 << 20, deepest: int = 2) -> DataFrame:
@@ -120,17 +149,19 @@ def output_level(files: DataFrame, low, high, most: int = 20 << 20, deepest: int
 
 def trivial_moves(files: DataFrame, most: int = 10 * FILE_BYTES) -> DataFrame:
     """Files that may go down as they are: nothing overlaps in the next level, little in the one after: level, num."""
-    a, b = files.filter(F.col("level") < LEVELS - 1).alias("a"), files.alias("b")
-    near = (F.col("b.level").between(F.col("a.level") + 1, F.col("a.level") + 2)) & (F.col("b.smallest") <= F.col("a.largest")) & (F.col("b.largest") >= F.col("a.smallest"))
-    next_ = F.count(F.when(F.col("b.level") == F.col("a.level") + 1, 1))
-    after = F.coalesce(F.sum(F.when(F.col("b.level") == F.col("a.level") + 2, F.col("b.size"))), F.lit(0))
-    return a.join(b, near, "left").groupBy(F.col("a.level").alias("level"), F.col("a.num").alias("num")).agg(next_.alias("n"), after.alias("bytes")).filter((F.col("n") == 0) & (F.col("bytes") < most)).select("level", "num")
+    own = files.filter(F.col("level") < LEVELS - 1)
+    near = _overlaps(own, files, files).filter("b_level BETWEEN a_level + 1 AND a_level + 2")
+    found = near.groupBy(F.col("a_level").alias("level"), F.col("a_num").alias("num")).agg(
+        F.count(F.when(F.col("b_level") == F.col("a_level") + 1, 1)).alias("n"), F.sum(F.when(F.col("b_level") == F.col("a_level") + 2, F.col("b_size"))).alias("bytes")
+    )
+    told = own.select("level", "num").join(found, ["level", "num"], "left")
+    return told.filter((F.coalesce("n", F.lit(0)) == 0) & (F.coalesce("bytes", F.lit(0)) < most)).select("level", "num")
 
 
 def truncated_inputs(files: DataFrame, level: int, most: int) -> DataFrame:
     """A level's files in key order until their sizes pass `most`, the one that passes included."""
-    before = F.sum("size").over(Window.orderBy("smallest", "num").rowsBetween(Window.unboundedPreceding, -1))
-    return files.filter(F.col("level") == level).withColumn("__b", F.coalesce(before, F.lit(0))).filter(F.col("__b") <= most).drop("__b")
+    own = files.filter(F.col("level") == level)
+    return running(own, ["smallest", "num"], F.col("size"), "__b").filter(F.col("__b") <= most).drop("__b")
 
 
 def seek_charges(files: DataFrame, probes: DataFrame) -> DataFrame:

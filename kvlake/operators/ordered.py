@@ -1,35 +1,78 @@
 """Order-dependent operators without a single task: rows are cut into key ranges, each is ordered by its own task, and one
-row per range carries what crosses from one range to the next."""
+row per range carries what crosses from one range to the next.
+
+Where ranges begin is sampled once, a bounded number of keys, and stands in the plan as a constant: every branch that
+reads the cut, and every task that is run again, sees the same ranges, so nothing need be written.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kvlake.sources.shared import stable
-
 _P = "__range"
+#: Keys sampled for each range; up to so many ranges are found by comparison with each, more by bisection.
+SAMPLED, FEW = 32, 16
+
+
+def _key(order: list) -> Column:
+    return F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)])
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """Keys at which the second and later ranges begin, as an array of structs in the plan."""
+
+    starts: Column | None
+    many: int
 
+    def of(self, order: list) -> Column:
+        """The number of the range that a row is in, from 0."""
+        if self.starts is None:
+            return F.lit(0)
+        key = _key(order)
+        if self.many <= FEW:
+            return sum((F.get(self.starts, F.lit(i)) <= key).cast("int") for i in range(self.many))
+        steps = F.array(*[F.lit(1 << s) for s in reversed(range(self.many.bit_length()))])
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(self.starts, at + step - 1) <= key, at + step).otherwise(at))
 
-def ranged(df: DataFrame, order: list, parts: int | None = None) -> DataFrame:
-    """df in ranges of its order, numbered by __range; the same ranges for every branch that reads it."""
-    cut = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
-    return stable(cut.withColumn(_P, F.spark_partition_id()))
+
+def ranges(df: DataFrame, order: list, parts: int | None = None) -> Ranges:
+    """Ranges with about as many rows each; order: ascending columns. Tables of fewer rows than are sampled are one range."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(_key(order).alias("o")).orderBy(F.rand(7)).limit(parts * SAMPLED)
+    some = [r["o"] for r in keys.orderBy("o").collect()] if parts > 1 else []
+    if len(some) < parts * SAMPLED:
+        return Ranges(None, 0)
+    types = [f.dataType for f in keys.schema["o"].dataType.fields]
+    picked = list(dict.fromkeys(some[i * SAMPLED] for i in range(1, parts)))
+    starts = [F.struct(*[F.lit(v).cast(t).alias(f"o{i}") for i, (v, t) in enumerate(zip(row, types, strict=True))]) for row in picked]
+    return Ranges(F.array(*starts), len(starts))
+
+
+def running(df: DataFrame, order: list, value: Column, name: str, how: str = "sum", cut: Ranges | None = None, parts: int | None = None) -> DataFrame:
+    """df with the sum (0 if none) or max (null if none) of value over the rows before each; order must tell all rows apart for a defined result."""
+    f = {"sum": F.sum, "max": F.max}[how]
+    cut = cut or ranges(df, order, parts)
+    rows = df.withColumns({"__value": value, _P: cut.of(order)})
+    inside = f("__value").over(Window.partitionBy(_P).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    each = rows.groupBy(_P).agg(f("__value").alias("__e"))
+    before = each.select(F.col(_P).alias("__r"), f("__e").over(Window.orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    told = rows.withColumn("__inside", inside).join(F.broadcast(before), F.col(_P) == F.col("__r"))  # a row per range
+    both = F.coalesce("__inside", F.lit(0)) + F.coalesce("__before", F.lit(0)) if how == "sum" else F.greatest("__inside", "__before")
+    return told.select(*df.columns, both.alias(name))
 
 
 def running_sum(df: DataFrame, order: list, value: Column, name: str, parts: int | None = None) -> DataFrame:
-    """df with the sum of value over the rows before each; order must tell all rows apart for a defined result."""
-    cut = ranged(df.withColumn("__value", value), order, parts)
-    inside = F.sum("__value").over(Window.partitionBy(_P).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    sums = cut.groupBy(_P).agg(F.sum("__value").alias("__s"))
-    before = sums.select(_P, (F.sum("__s").over(Window.orderBy(_P)) - F.col("__s")).alias("__before"))
-    told = cut.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), _P)  # a row per range
-    return told.withColumn(name, F.col("__inside") + F.col("__before")).drop(_P, "__value", "__inside", "__before")
+    """df with the sum of value over the rows before each."""
+    return running(df, order, value, name, parts=parts)
 
 
 def neighbours(df: DataFrame, parts: int | None = None) -> DataFrame:
     """df(k, ...) with prev_k and next_k in key order."""
-    cut = ranged(df, ["k"], parts)
+    cut = df.withColumn(_P, ranges(df, ["k"], parts).of(["k"]))
     inner, order = Window.partitionBy(_P).orderBy("k"), Window.orderBy(_P)
     edge = cut.groupBy(_P).agg(F.min("k").alias("__lo"), F.max("k").alias("__hi"))
     edge = edge.select(_P, F.lag("__hi").over(order).alias("__before"), F.lead("__lo").over(order).alias("__after"))
@@ -45,7 +88,7 @@ def nearest(hits: DataFrame, probes: DataFrame, parts: int | None = None) -> Dat
     """
     columns = [F.col(c) for c in hits.columns]
     both = hits.select("k", F.struct(*columns).alias("hit"), F.lit(1).alias("side")).unionByName(probes.select("k").dropDuplicates().withColumn("side", F.lit(0)), allowMissingColumns=True)
-    cut = ranged(both, ["k"], parts)
+    cut = both.withColumn(_P, ranges(both.select("k"), ["k"], parts).of(["k"]))
     rows = (Window.unboundedPreceding, 0)
     up = F.last("hit", ignorenulls=True).over(Window.partitionBy(_P).orderBy(F.desc("k"), F.desc("side")).rowsBetween(*rows))
     down = F.last("hit", ignorenulls=True).over(Window.partitionBy(_P).orderBy("k", "side").rowsBetween(*rows))
@@ -59,3 +102,19 @@ def nearest(hits: DataFrame, probes: DataFrame, parts: int | None = None) -> Dat
     )
     told = cut.withColumns({"__ceil": up, "__floor": down}).filter("side = 0").join(F.broadcast(edge), _P)
     return told.select("k", F.coalesce("__ceil", "__after").alias("ceil"), F.coalesce("__floor", "__before").alias("floor"))
+
+
+def at_or_below(hits: DataFrame, probes: DataFrame, parts: int | None = None) -> DataFrame:
+    """For each distinct probe k: hit, the last hit (struct with k) at or below it, null if none."""
+    near = nearest(hits, probes, parts)
+    return near.select("k", F.when(F.col("ceil.k") == F.col("k"), F.col("ceil")).otherwise(F.col("floor")).alias("hit"))
+
+
+def islands(rows: DataFrame, low: str, high: str, tie: list[str]) -> DataFrame:
+    """rows with island, the `low` at which the closed ranges [low, high] that touch or overlap, one leading to the next, begin."""
+    order = [low, high, *tie]
+    cut = ranges(rows, order)
+    reach = running(rows, order, F.col(high), "__reach", "max", cut)
+    starts = reach.withColumn("__new", F.when(F.coalesce(F.col("__reach") < F.col(low), F.lit(True)), F.col(low)))
+    told = running(starts, order, F.col("__new"), "__last", "max", cut)
+    return told.withColumn("island", F.coalesce("__new", "__last")).drop("__reach", "__new", "__last")

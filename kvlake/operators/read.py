@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from kvlake.operators.ordered import nearest
 
 #: Types that an aggregation buffer can update in place, so that hash aggregation is chosen.
-_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def at(log: DataFrame, snapshot: int | None) -> DataFrame:
@@ -19,7 +19,7 @@ def at(log: DataFrame, snapshot: int | None) -> DataFrame:
 def newest(log: DataFrame, snapshot: int | None = None) -> DataFrame:
     """The newest version of each key, deletions included: k, seq, typ, v."""
     log = at(log, snapshot)
-    if isinstance(log.schema["v"].dataType, _FIXED):
+    if isinstance(log.schema["v"].dataType, FIXED):
         return log.groupBy("k").agg(F.max("seq").alias("seq"), F.max_by("typ", "seq").alias("typ"), F.max_by("v", "seq").alias("v"))
     top = log.groupBy("k").agg(F.max(F.struct("seq", "typ", "v")).alias("m")) if not _unordered(log) else log.groupBy("k").agg(F.max_by(F.struct("seq", "typ", "v"), "seq").alias("m"))
     return top.select("k", "m.seq", "m.typ", "m.v")

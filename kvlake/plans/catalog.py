@@ -5,13 +5,17 @@ The log comes from events: the key is the user, the sequence the event's number
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.functions import bytestrings as B
 from kvlake.functions import columns as C
-from kvlake.operators import compact, log, merge, meta, ordered, read
-from kvlake.sources import cache, random_data, wal
+from kvlake.operators import compact, log, merge, meta, ordered, planning, read
+from kvlake.sources import cache, edits, random_data, tables, wal
 
 S = 700  # a snapshot inside every scale
 FLUSH = 250  # entries of a run at level 0
@@ -266,15 +270,26 @@ def kv_compact_range(spark, d):
     return compact.compact_range(the_log(spark, d), 3, 9, S)
 
 
-@query(f"SELECT t AS snapshot, 0::BIGINT AS lost, 0::BIGINT AS gained FROM (VALUES ({S}), ({S + 150}), (1000000000)) x(t)")
+_TIMES = (S, S + 150, 1_000_000_000)
+_AFTER = f"after_ AS (SELECT k, seq, typ, v FROM kept WHERE NOT (typ = 0 AND seq <= {S}))"
+
+
+@query(
+    _with(_LOG, _KEPT, _AFTER, f"t(t) AS (VALUES {', '.join(f'({t})' for t in _TIMES)})")
+    + """, a AS (SELECT t, k, v, seq FROM (SELECT t, l.*, row_number() OVER (PARTITION BY t, k ORDER BY seq DESC) AS rn FROM log l, t WHERE seq <= t) WHERE rn = 1 AND typ = 1),
+b AS (SELECT t, k, v, seq FROM (SELECT t, l.*, row_number() OVER (PARTITION BY t, k ORDER BY seq DESC) AS rn FROM after_ l, t WHERE seq <= t) WHERE rn = 1 AND typ = 1)
+SELECT t AS snapshot, (SELECT count(*) FROM a WHERE a.t = t.t) AS visible, (SELECT count(*) FROM after_) AS kept,
+  (SELECT count(*) FROM (SELECT * FROM a WHERE a.t = t.t EXCEPT SELECT * FROM b)) AS lost, (SELECT count(*) FROM (SELECT * FROM b WHERE b.t = t.t EXCEPT SELECT * FROM a)) AS gained FROM t"""
+)
 def kv_compact_preserves(spark, d):
     rows = the_log(spark, d)
     after = compact.compact(rows, S, F.lit(True))
     out = []
-    for t in (S, S + 150, 1_000_000_000):
+    for t in _TIMES:
         a, b = read.visible(rows, t), read.visible(after, t)
-        both = a.select(F.lit(1).alias("of"), "*").unionByName(b.select(F.lit(-1).alias("of"), "*")).groupBy("k", "v", "seq").agg(F.sum("of").alias("d"))
-        out.append(both.agg(F.lit(t).alias("snapshot"), F.count(F.when(F.col("d") > 0, 1)).alias("lost"), F.count(F.when(F.col("d") < 0, 1)).alias("gained")))
+        both = a.select(F.lit(1).alias("of"), "*").unionByName(b.select(F.lit(-1).alias("of"), "*")).groupBy("k", "v", "seq").agg(F.sum("of").alias("d"), F.count(F.when(F.col("of") > 0, 1)).alias("n"))
+        each = both.agg(F.sum("n").alias("visible"), F.count(F.when(F.col("d") > 0, 1)).alias("lost"), F.count(F.when(F.col("d") < 0, 1)).alias("gained"))
+        out.append(each.join(after.agg(F.count(F.lit(1)).alias("kept"))).select(F.lit(t).alias("snapshot"), "visible", "kept", "lost", "gained"))
     return merge.union(*out)
 
 
@@ -379,6 +394,77 @@ def meta_next_level_overlap(spark, d):
     return meta.next_level_overlap(files(spark, d))
 
 
+@query(
+    _with(_LOG, _FILES)
+    + "SELECT coalesce(max(bytes), 0)::BIGINT AS bytes FROM (SELECT sum(b.size) AS bytes FROM files a JOIN files b ON b.level = a.level + 1 AND b.smallest <= a.largest AND b.largest >= a.smallest WHERE a.level BETWEEN 1 AND 5 GROUP BY a.level, a.num)"
+)
+def meta_max_overlap(spark, d):
+    return meta.max_next_level_overlap(files(spark, d))
+
+
+@query(_with(_LOG, _FILES) + "SELECT a.level, a.num, EXISTS (SELECT 1 FROM files b WHERE b.level = a.level + 1 AND b.smallest <= a.largest AND b.largest >= a.smallest) AS met FROM files a WHERE a.level BETWEEN 1 AND 5")
+def meta_overlaps_next(spark, d):
+    return meta.next_level_overlap(files(spark, d)).select("level", "num", (F.col("bytes") > 0).alias("met"))
+
+
+@query(_with(_LOG, _FILES) + "SELECT CASE WHEN num = 5001 THEN 4 ELSE level END AS level, num, size, smallest, largest FROM files")
+def meta_move(spark, d):
+    return compact.move(files(spark, d), 5001, 4)
+
+
+@query(_with(_LOG, _FILES) + "SELECT level, num, size, smallest, largest FROM files WHERE level = 0 ORDER BY num DESC")
+def meta_newest_first(spark, d):
+    return files(spark, d).filter("level = 0").orderBy(F.desc("num"))
+
+
+@query(_with(_LOG, _FILES) + "SELECT level, num, size, smallest, largest FROM files WHERE level IN (2, 3) ORDER BY smallest, level DESC")
+def meta_merge_files(spark, d):
+    f = files(spark, d)
+    return merge.merge_files(f.filter("level = 2"), f.filter("level = 3"))
+
+
+@query(
+    "WITH RECURSIVE " + ", ".join([_LOG, "ends AS (SELECT max(o_orderkey) % 997 AS largest, 64 * count(*) AS size FROM orders GROUP BY o_custkey)"])
+    + """, passed AS (SELECT k, coalesce((SELECT sum(size) FROM ends WHERE largest < l.k), 0)::BIGINT AS p FROM (SELECT DISTINCT k FROM log) l),
+cut(base, first) AS (SELECT min(p), true FROM passed UNION ALL SELECT (SELECT min(p) FROM passed WHERE p - cut.base > 2000), false FROM cut WHERE EXISTS (SELECT 1 FROM passed WHERE p - cut.base > 2000))
+SELECT l.k, l.seq, l.typ, l.v, (SELECT count(*) FROM cut WHERE NOT first AND base <= passed.p) AS output FROM log l JOIN passed ON l.k = passed.k"""
+)
+def plan_output_cuts(spark, d):
+    ends = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_custkey").agg((F.max("o_orderkey") % 997).alias("largest"), (F.count(F.lit(1)) * 64).alias("size"))
+    return compact.split_by_overlap(the_log(spark, d), ends, 2000)
+
+
+_PLAN = """, own AS (SELECT * FROM files WHERE level = 2 ORDER BY smallest, num LIMIT 1),
+below AS (SELECT * FROM files WHERE level = 3 AND largest >= (SELECT smallest FROM own) AND smallest <= (SELECT largest FROM own)),
+every_ AS (SELECT min(smallest) AS lo, max(largest) AS hi FROM (SELECT * FROM own UNION ALL SELECT * FROM below)),
+more AS (SELECT * FROM files WHERE level = 2 AND largest >= (SELECT lo FROM every_) AND smallest <= (SELECT hi FROM every_)),
+wider AS (SELECT * FROM files WHERE level = 3 AND largest >= (SELECT min(smallest) FROM more) AND smallest <= (SELECT max(largest) FROM more)),
+grow AS (SELECT (SELECT count(*) FROM below) > 0 AND (SELECT count(*) FROM more) > (SELECT count(*) FROM own) AND (SELECT count(*) FROM wider) = (SELECT count(*) FROM below)
+  AND (SELECT sum(size) FROM more) + (SELECT sum(size) FROM below) < 25 * 2097152 AS g),
+taken AS (SELECT *, 0 AS role FROM own WHERE NOT (SELECT g FROM grow) UNION ALL SELECT *, 0 FROM more WHERE (SELECT g FROM grow)
+  UNION ALL SELECT *, 1 FROM below WHERE NOT (SELECT g FROM grow) UNION ALL SELECT *, 1 FROM wider WHERE (SELECT g FROM grow))
+SELECT level, num, size, smallest, largest, role FROM taken
+UNION ALL SELECT level, num, size, smallest, largest, 2 FROM files WHERE level = 4 AND largest >= (SELECT min(smallest) FROM taken) AND smallest <= (SELECT max(largest) FROM taken)"""
+#: Level 3 cut into two levels, so that a plan has grandparents.
+_DEEP = _FILES.replace("files AS (", "shallow AS (") + ", files AS (SELECT CASE WHEN level = 3 AND num % 2 = 0 THEN 4 ELSE level END AS level, num, size, smallest, largest FROM shallow)"
+
+
+def deep_files(spark, d):
+    return files(spark, d).withColumn("level", F.when((F.col("level") == 3) & (F.col("num") % 2 == 0), 4).otherwise(F.col("level")))
+
+
+@query(_with(_LOG, _DEEP).rstrip() + _PLAN)
+def plan_inputs(spark, d):
+    f = deep_files(spark, d)
+    return planning.compaction_inputs(f, 2, meta.pick_file(f, 2))
+
+
+@query(_with(_LOG, _FILES, _SCORES) + "SELECT f.level, f.num, f.size, f.smallest, f.largest FROM files f WHERE f.level = (SELECT level FROM scores ORDER BY score DESC, level LIMIT 1) AND f.level > 0 ORDER BY f.smallest, f.num LIMIT 1")
+def plan_pick(spark, d):
+    level, own = planning.pick(files(spark, d), base=4096)
+    return own.filter(F.col("level") > 0)
+
+
 @query(_with(_LOG, _FILES, _PROBES) + "SELECT k, sum(CASE WHEN largest <= k THEN size ELSE 0 END)::BIGINT AS \"offset\" FROM (SELECT DISTINCT k FROM probes), files GROUP BY k")
 def meta_approx_offset(spark, d):
     return meta.approximate_offset(files(spark, d), probes(spark, d))
@@ -460,10 +546,11 @@ def meta_install_compaction(spark, d):
     return compact.install(f, inputs, inputs.withColumns({"level": F.lit(4), "num": F.col("num") + 10000}))
 
 
-@query(_with(_LOG, _FILES) + "SELECT level, num, size, smallest, largest FROM files WHERE num % 5 <> 0 UNION ALL SELECT level, num, size + 1, smallest, largest FROM files WHERE num % 5 = 1 AND false")
+@query(_with(_LOG, _FILES) + "SELECT level, num, size + CASE WHEN num % 10 IN (3, 5) THEN 64 ELSE 0 END AS size, smallest, largest FROM files WHERE num % 10 <> 0")
 def meta_apply_edits(spark, d):
     f = files(spark, d)
-    return merge.apply_edits(f, f.filter("num % 10 = 3"), f.filter("num % 5 = 0 OR num % 10 = 3"))
+    added = f.filter("num % 10 IN (3, 5)").withColumn("size", F.col("size") + 64)
+    return merge.apply_edits(f, added, f.filter("num % 5 = 0 OR num % 10 = 3"))
 
 
 @query(_with(_LOG, _FILES) + "SELECT count(*) AS n FROM (SELECT *, max(largest) OVER (PARTITION BY level ORDER BY smallest, num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM files WHERE level >= 1) WHERE reach >= smallest")
@@ -566,23 +653,43 @@ def fn_micros(spark, d):
     return events(spark, d).select("event_id", C.micros(F.col("ts").cast("timestamp")).alias("us"))
 
 
-@query(None)
+@query(
+    _with(_KEYS)
+    + """, n AS (SELECT k, lead(k) OVER (ORDER BY k) AS b, length(k) AS m FROM keys),
+c AS (SELECT k, b, m, list_filter(range(1, least(m, length(b)) + 1), lambda i: left(k, i - 1) <> left(b, i - 1) OR k[i] <> b[i]) AS from_diff FROM n WHERE b IS NOT NULL),
+e AS (SELECT *, list_filter(from_diff, lambda i: unicode(k[i]) + 1 < unicode(b[i])) AS room FROM c)
+SELECT k, b AS next_k, hex(CASE WHEN len(room) > 0 THEN left(k, room[1] - 1) || chr(unicode(k[room[1]]) + 1) WHEN left(k, m - 1) || chr(unicode(right(k, 1)) + 1) < b THEN left(k, m - 1) || chr(unicode(right(k, 1)) + 1) ELSE k || chr(0) END) AS separator FROM e"""
+)
 def fn_short_sep(spark, d):
     near = ordered.neighbours(text_log(spark, d).select("k").distinct())
     return near.filter("next_k IS NOT NULL").select("k", "next_k", F.hex(B.shortest_separator_col("k", "next_k")).alias("separator"))
 
 
-@query(None)
+@query(_with(_KEYS) + "SELECT k, hex(chr(unicode(k) + 1)) AS successor FROM keys")
 def fn_short_succ(spark, d):
     return text_log(spark, d).select("k").distinct().select("k", F.hex(B.short_successor_col("k")).alias("successor"))
 
 
-@query(None)
+#: A checksum's table of 256 numbers, from the polynomial.
+_CRC_TABLE = "crcs AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 2197175160 ELSE 0 END)) ORDER BY n) AS t FROM range(256) r(n))"
+
+
+@query(
+    _with(_CRC_TABLE)
+    + "SELECT event_id, xor(list_reduce(list_concat([4294967295]::BIGINT[], list_transform(range(1, length(props) + 1), lambda i: unicode(props[i])::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) AS crc FROM events, crcs"
+)
 def fn_crc32c(spark, d):
     return events(spark, d).select("event_id", B.crc32c_col("props").alias("crc"))
 
 
-@query(None)
+@query(
+    _with(_KEYS)
+    + """, w AS (SELECT k, length(k) AS n, list_transform(range(0, length(k) // 4), lambda i: unicode(k[4 * i + 1]) + 256 * unicode(k[4 * i + 2]) + 65536 * unicode(k[4 * i + 3]) + 16777216::HUGEINT * unicode(k[4 * i + 4])) AS words,
+  list_transform(range(0, length(k) % 4), lambda i: unicode(k[length(k) // 4 * 4 + i + 1]) * (256 ** i)::HUGEINT) AS rest FROM keys),
+m AS (SELECT k, n, rest, list_reduce(list_concat([xor(3164544308::BIGINT, (n * 3332679571 % 4294967296)::BIGINT)::HUGEINT], words), lambda h, x: xor(((h + x) * 3332679571 % 4294967296)::BIGINT, (((h + x) * 3332679571 % 4294967296)::BIGINT >> 16))::HUGEINT) AS h FROM w),
+l AS (SELECT k, rest, h, ((h + coalesce(list_sum(rest), 0)::HUGEINT) * 3332679571 % 4294967296)::BIGINT AS g FROM m)
+SELECT k, CASE WHEN len(rest) = 0 THEN h::BIGINT ELSE xor(g, g >> 24) END AS hash FROM l"""
+)
 def fn_bloom(spark, d):
     return text_log(spark, d).select("k").distinct().select("k", B.bloom_hash_col("k").alias("hash"))
 
@@ -599,6 +706,58 @@ def wal_fragments(spark, d):
     return wal.fragments(r)
 
 
+# Files of bytes
+
+
+@query(_with(_TEXT_LOG) + "SELECT k, seq, typ, v FROM tlog")
+def table_round_trip(spark, d):
+    made = tables.write_tables(text_log(spark, d), rows_per_table=300)
+    return tables.read_tables(made).select(F.col("k").cast("string").alias("k"), "seq", "typ", F.col("v").cast("string").alias("v"))
+
+
+@query(
+    _with(_TEXT_LOG)
+    + "SELECT count(*) AS entries, min(k) AS smallest, max(k) AS largest, 0::BIGINT AS overlaps FROM tlog"
+)
+def table_ranges(spark, d):
+    made = tables.write_tables(text_log(spark, d), rows_per_table=300).select(F.lit(1).alias("level"), F.col("part").alias("num"), "entries", F.col("smallest").cast("string").alias("smallest"), F.col("largest").cast("string").alias("largest"))
+    whole = made.agg(F.sum("entries").alias("entries"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))
+    return whole.join(merge.overlapping_neighbours(made).agg(F.count(F.lit(1)).alias("overlaps")))
+
+
+def _coded_edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each edit of a file through its bytes and back."""
+    for b in batches:
+        rows = []
+        for no, kind, level, num, size, lo, hi in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            e = edits.Edit(last_seq=no, deleted={(level, num)}) if kind == "delete" else edits.Edit(last_seq=no, added=[(level, num, size, str(lo).encode(), str(hi).encode())])
+            e = edits.Edit.decode(e.encode())
+            level, num, size, lo, hi = e.added[0] if e.added else (*next(iter(e.deleted)), size, str(lo).encode(), str(hi).encode())
+            rows.append((e.last_seq, "add" if e.added else "delete", level, num, size, int(lo), int(hi)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), b.schema.types, strict=True)] if rows else b.columns, b.schema.names)
+
+
+@query(_with(_EDITS) + "SELECT edit_no, kind, level, num, size, smallest, largest FROM edits")
+def meta_edit_codec(spark, d):
+    return file_edits(spark, d).mapInArrow(_coded_edits, "edit_no long, kind string, level int, num long, size long, smallest long, largest long")
+
+
+def _logged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Operations through the records of a log and back, a batch of a hundred in each."""
+    for b in batches:
+        rows = [(s, t, str(k).encode(), None if v is None else repr(v).encode()) for k, s, t, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        runs = [list(g) for _, g in groupby(enumerate(rows), lambda x: (x[1][0] - x[0], x[0] // 100))]  # sequences without a gap
+        data = wal.encode([wal.encode_batch(g[0][1][0], [x[1:] for _, x in g]) for g in runs])
+        back = [(k, seq + i, t, v) for seq, ops in map(wal.decode_batch, wal.decode(data)) for i, (t, k, v) in enumerate(ops)]
+        k, seq, typ, v = zip(*back) if back else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array([int(x) for x in k], pa.int64()), pa.array(seq, pa.int64()), pa.array(typ, pa.int32()), pa.array([None if x is None else float(x) for x in v], pa.float64())], ["k", "seq", "typ", "v"])
+
+
+@query(_with(_LOG) + "SELECT k, seq, typ, v FROM log")
+def wal_round_trip(spark, d):
+    return the_log(spark, d).select("k", "seq", "typ", "v").mapInArrow(_logged, "k long, seq long, typ int, v double")
+
+
 # Workloads
 
 
@@ -607,11 +766,19 @@ def wl_word_count(spark, d):
     return log.count_upsert(log.tokens(spark.read.parquet(f"{d}/benchmark.parquet")))
 
 
-@query(None)
+def _random_sql(length: int, seed: int) -> str:
+    parts = " || ".join(f"sha256('{i}/{seed}/' || id)" for i in range(-(-length // 64)))
+    return f"left(translate({parts}, 'abcdef', 'kqtwxz'), {length})"
+
+
+@query(f"SELECT {_random_sql(16, 1)} AS k, {_random_sql(100, 2)} AS v FROM range(10000) r(id)")
 def wl_random_keys(spark, d):
     return random_data.key_values(spark, 10_000)
 
 
-@query(None)
+@query(
+    """WITH t AS (SELECT user_id % 8 AS shard, event_id AS pos, user_id AS key, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+SELECT shard, pos, key, before IS NOT NULL AND (SELECT count(DISTINCT u.key) FROM t u WHERE u.shard = t.shard AND u.pos > t.before AND u.pos < t.pos) < 16 AS hit FROM t"""
+)
 def cache_lru_sim(spark, d):
     return cache.lru(events(spark, d).select((F.col("user_id") % 8).alias("shard"), F.col("event_id").alias("pos"), F.col("user_id").alias("key")), capacity=16)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -26,13 +27,21 @@ class Lru:
 
 
 def lru(trace: DataFrame, capacity: int) -> DataFrame:
-    """trace(shard, pos, key) -> shard, pos, key, hit. A shard's accesses are a sequence by nature and are one group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, cache, hits = pdf.sort_values("pos"), Lru(capacity), []
-        for key in pdf["key"]:
-            hits.append(cache.get(key) is not None)
-            cache.put(key, True)
-        return pdf.assign(hit=hits)[["shard", "pos", "key", "hit"]]
-
-    return trace.groupBy("shard").applyInPandas(run, "shard long, pos long, key long, hit boolean")
+    """trace(shard, pos, key) -> shard, pos, key, hit.
+
+    A shard's accesses are a sequence by nature: one task reads them in order, with no more in memory than the cache and a batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cache = None, Lru(capacity)
+        for b in batches:
+            hits = []
+            for shard, key in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if shard != now:
+                    now, cache = shard, Lru(capacity)
+                hits.append(cache.get(key) is not None)
+                cache.put(key, True)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, pa.bool_())], ["shard", "pos", "key", "hit"])
+
+    ordered = trace.select("shard", "pos", "key").repartition("shard").sortWithinPartitions("shard", "pos")
+    return ordered.mapInArrow(run, f"shard {trace.schema['shard'].dataType.simpleString()}, pos long, key {trace.schema['key'].dataType.simpleString()}, hit boolean")

@@ -89,6 +89,39 @@ def decode_batch(record: bytes) -> tuple[int, list[tuple[int, bytes, bytes | Non
     return seq, ops
 
 
+class WriteBatch:
+    """Operations in order, and the bytes that a log holds of them."""
+
+    def __init__(self, ops: Iterable[tuple[int, bytes, bytes | None]] = ()):
+        self.ops = list(ops)
+
+    def put(self, key: bytes, value: bytes) -> None:
+        self.ops.append((1, key, value))
+
+    def delete(self, key: bytes) -> None:
+        self.ops.append((0, key, None))
+
+    def clear(self) -> None:
+        self.ops.clear()
+
+    def __len__(self) -> int:
+        return len(self.ops)
+
+    def __iter__(self) -> Iterator[tuple[int, bytes, bytes | None]]:
+        return iter(self.ops)
+
+    def encode(self, seq: int) -> bytes:
+        return encode_batch(seq, self.ops)
+
+    def byte_size(self) -> int:
+        return len(self.encode(0))
+
+    def set_contents(self, record: bytes) -> int:
+        """Take the operations of an encoded batch in place of these; its sequence."""
+        seq, self.ops = decode_batch(record)
+        return seq
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Log files under path as rows: file, k, seq, typ, v, and bad, true in one row where a file's rest can't be read.
 

@@ -3,9 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kvlake.errors import Corruption, IOFailure
 from kvlake.functions import bytestrings as B
-from kvlake.operators import compact, log, merge, meta, read
+from kvlake.operators import compact, log, merge, meta, planning, read
+from kvlake.sources import edits, tables
 
+# The contents, sizes and answers of a published store of nine files, and byte vectors of its format.
 FILES = [
     (1, 0, 22, "aaa:val1 aab:val2 aac:val3 aba:val4", 232),
     (2, 0, 26, "aac:- aax:val2 aba:val3 bab:val4 bba:val5", 251),
@@ -143,3 +146,111 @@ def test_codecs():
     for n in (0, 127, 128, 16383, 16384, 1 << 40):
         assert B.read_varint(B.varint(n)) == (n, len(B.varint(n)))
     assert B.slices(b"abcdef", [0, 2, 3]) == [b"ab", b"c", b"def"]
+
+
+def test_compaction_inputs(files):
+    def many(level, low, high, file_bytes=meta.FILE_BYTES):
+        made = planning.compaction_inputs(files, level, planning.overlapping_inputs(files, level, low, high), file_bytes)
+        got = [r.role for r in made.collect()]
+        return [got.count(i) for i in range(3)], made
+
+    assert many(0, "000", "ab")[0] == [2, 1, 1]
+    assert many(0, "000", "zzz")[0] == [2, 1, 1]
+    assert many(1, "dab", "eab")[0] == [3, 1, 0]  # as many files of the level come along as meet the same of the next
+    assert many(1, "dab", "eab", 10)[0] == [2, 1, 0]
+    kinds, made = many(2, "fab", "fba")
+    assert kinds == [1, 0, 0] and planning.is_trivial(made) and not planning.is_trivial(many(0, "000", "ab")[1])
+
+
+def test_pick(spark, files):
+    level, own = planning.pick(files.withColumn("size", F.col("size") * 100_000), {1: "cba"})
+    assert level == 1 and [r.num for r in own.collect()] == [4]
+    assert planning.pick(files) is None
+    charges = spark.createDataFrame([(2, 7, 100, 100, True), (3, 8, 1, 100, False)], "level int, num long, charges long, allowed long, due boolean")
+    level, own = planning.pick(files, charges=charges)
+    assert level == 2 and [r.num for r in own.collect()] == [7]
+    few = planning.pick(files.withColumn("level", F.when(F.col("level") > 1, 0).otherwise(F.col("level"))))
+    assert few[0] == 0 and {r.num for r in few[1].collect()} == {1, 2}  # the file and those that overlap it
+
+
+def test_outputs_are_cut_by_what_they_leave_behind(spark):
+    rows = spark.createDataFrame([(k, 1, 1, "v") for k in "abcdefghij"], "k string, seq long, typ int, v string")
+    ends = [("b", 6), ("c", 6), ("d", 1), ("f", 20), ("h", 3), ("i", 9)]
+
+    def by_hand(most):
+        out, n, at, left, seen = {}, 0, 0, 0, False
+        for k in "abcdefghij":
+            while at < len(ends) and k > ends[at][0]:
+                left += ends[at][1] * seen
+                at += 1
+            seen = True
+            if left > most:
+                n, left = n + 1, 0
+            out[k] = n
+        return out
+
+    for most in (0, 5, 10, 100):
+        got = compact.split_by_overlap(rows, spark.createDataFrame(ends, "largest string, size long"), most).collect()
+        assert {r.k: r.output for r in got} == by_hand(most), most
+
+
+ENTRIES = [(k.encode(), v.encode()) for k, v in [("abc", "def"), ("abd", "dee"), ("bcd", "asa"), ("bsr", "a00"), ("xyz", "xxx"), ("xzz", "yyy"), ("zzz", "111")]]
+
+
+def test_table_offsets_and_seeks():
+    data = tables.pack(ENTRIES, tables.Options(block_bytes=32, restart=2))
+    t = tables.Table(data)
+    assert [t.offset_of(k) for k, _ in ENTRIES] == [0, 0, 0, 44, 44, 44, 89] and t.offset_of(b"{aa") == 137
+    assert list(t.entries()) == ENTRIES and list(t.backwards()) == ENTRIES[::-1]
+    assert t.seek(b"bcd") == ENTRIES[2] and t.seek(b"abc") == ENTRIES[0] and t.seek(b"{{{") is None and t.seek(b"bbb") == ENTRIES[2]
+    assert all(t.get(k) == (k, v) for k, v in ENTRIES) and t.get(b"somerandomkey") is None
+    assert len(t.filters.offsets) == 2 and all(t.filters.may_contain(t.offset_of(k), k) for k, _ in ENTRIES)
+    broken = bytearray(data)
+    broken[10] += 1
+    t = tables.Table(bytes(broken))  # the damage shows where the block is read
+    assert len(list(t.entries(b"bsr"))) == 4
+    with pytest.raises(Corruption):
+        list(t.entries())
+    for bad in (data[:-1], data[:20], b""):
+        with pytest.raises(Corruption):
+            tables.Table(bad)
+
+
+@pytest.mark.parametrize("codec", [0, 1, 2, 4])
+def test_internal_tables(codec):
+    keys = [(B.internal_key(k, seq, 1), v) for k, v in ENTRIES for seq in (9, 4, 2)]
+    o = tables.Options.internal(codec=codec, block_bytes=32, restart=1)
+    t = tables.Table(tables.pack(keys, o), o)
+    assert list(t.entries()) == keys
+    for k, v in ENTRIES:
+        assert t.get(B.internal_key(k, 5, 1)) == (B.internal_key(k, 4, 1), v)
+        assert t.get(B.internal_key(k, (1 << 56) - 1, 1)) == (B.internal_key(k, 9, 1), v)
+    assert list(tables.Table(tables.pack([], o), o).entries()) == []
+
+
+def test_filter_blocks():
+    keys = [b"abcd", b"efgh", b"ijkl", b"mnopqrstuvwxyz"]
+    made = tables.filter_block([(0, keys), (5000, keys)], tables.FilterPolicy(32))
+    bits = [234, 195, 25, 155, 61, 141, 173, 140, 221, 28, 222, 92, 220, 112, 234, 227, 22]
+    assert list(made) == [*bits, *bits, 0, 0, 0, 0, 17, 0, 0, 0, 17, 0, 0, 0, 34, 0, 0, 0, 11]
+    f = tables.Filters(made, tables.FilterPolicy(32))
+    assert f.offsets[5121 >> 11] == 17
+    for at in (0, 1024, 5000, 6025):
+        assert all(f.may_contain(at, k) for k in keys) and not any(f.may_contain(at, k) for k in (b"xsb", b"9sad", b"assssaaaass"))
+    assert f.may_contain(99_999, b"any") and tables.Filters(tables.filter_block([(0, keys)], tables.FilterPolicy(0)), tables.FilterPolicy(0)).may_contain(0, b"any")
+
+
+def test_handles_and_edits():
+    assert tables.read_handle(tables.handle(890, 777)) == (890, 777, 4)
+    with pytest.raises(Corruption):
+        tables.read_handle(b"\x80")
+    e = edits.Edit("bytewise", log_number=123, next_file_number=456, pointers=[(0, bytes([0, 1, 2])), (1, bytes([3, 4, 5]))], deleted={(1, 132)}, added=[(0, 901, 234, bytes([5, 6, 7]), bytes([8, 9, 0]))])
+    assert edits.Edit.decode(e.encode()) == e and edits.Edit.decode(b"") == edits.Edit()
+    for n in range(len(e.encode())):
+        try:
+            edits.Edit.decode(e.encode()[:n])
+        except IOFailure:
+            pass
+    for bad, error in ((b"\x08\x01", Corruption), (b"\x01\x01\xff", Corruption), (b"\x02", IOFailure), (b"\x05\x01\x09ab", IOFailure)):
+        with pytest.raises(error):
+            edits.Edit.decode(bad)
