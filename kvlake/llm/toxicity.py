@@ -57,6 +57,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _present(chosen: np.ndarray):
+    many = len(chosen)
     place = np.full(BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
 
@@ -64,7 +65,7 @@ def _present(chosen: np.ndarray):
         for b in steps(batches, 0):
             bits = []
             for text in b.column(0).to_pylist():
-                x = np.zeros(FEATURES, bool)
+                x = np.zeros(many, bool)
                 for h in buckets_of(text or ""):
                     at = place[h]
                     x[at[at >= 0]] = True
@@ -110,7 +111,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.table[hit].sum(), -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, l2: float = 1e-4, seed: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, l2: float = 1e-4, seed: int = 5) -> Model:
     """A model from labelled rows that are not held out.
 
     Labels without doc_id or toxic take no part; of repeated labels the higher counts. Documents that repeat a doc_id and
@@ -138,10 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, l2:
     ratio = np.log(p / (1 - p) / (q / (1 - q)))
     mean = (toxic + clean) / (n0 + n1)
     tells = (p - q) ** 2 / (mean * (1 - mean) * (1 / n1 + 1 / n0) + 1e-4)
-    best = np.argsort(-tells, kind="stable")[:FEATURES]
+    best = np.argsort(-tells, kind="stable")[:features]
     chosen, ratio = got["bucket"].to_numpy()[best].astype(np.int64), ratio[best]
 
-    rows = read.mapInArrow(_present(chosen), "bits binary, toxic int, k long").toPandas().sort_values(["k", "toxic"])  # sample_rows * FEATURES bits at most
+    rows = read.mapInArrow(_present(chosen), "bits binary, toxic int, k long").toPandas().sort_values(["k", "toxic"])  # sample_rows * features bits at most
     drop(read)
     x = np.unpackbits(np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(len(rows), -1), axis=1)[:, : len(chosen)].astype(np.float32)
     x *= ratio.astype(np.float32)
