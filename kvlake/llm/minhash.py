@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     # Bands that bring the same classes together count once.
     distinct = buckets.groupBy("centre", "far", "n", "who").agg(F.min(F.struct("band", "value")).alias("b"), F.min("size").alias("size"))
     buckets = keep(distinct.select("b.band", "b.value", "centre", "n", "size"), "buckets")
-    inside = keep(member.join(buckets, ["band", "value"]).select("band", "value", "rep", "centre", "n", "size"), "members")
+    # A bucket of very many classes can be split between tasks in these joins of tables, at any size of either.
+    inside = keep(member.join(buckets.hint("merge"), ["band", "value"]).select("band", "value", "rep", "centre", "n", "size"), "members")
 
     of = classes.select(F.col("rep"), "bits")
     texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
@@ -248,7 +249,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     tagged = inside.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     parted = tagged.filter("n > 2").groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "value")
-    rest = keep(tagged.join(parted, ["band", "value"]).select("band", "value", "rep", "comp", "n", "size"), "rest")
+    rest = keep(tagged.join(parted.hint("merge"), ["band", "value"]).select("band", "value", "rep", "comp", "n", "size"), "rest")
     if not rest.isEmpty():
         blocks = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
         own = rest.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
