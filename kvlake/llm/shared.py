@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_SCRATCH: list[list[DataFrame]] = []
 #: Bytes of text that a worker turns into Python objects at a time.
 STEP_BYTES = 2 << 20
 
@@ -48,13 +50,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="kvlake-"))
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later stages survive lost executors without redoing it."""
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables kept inside go at the end, those with hold aside: for steps whose result is written meanwhile."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        drop(*_SCRATCH.pop())
+
+
+def keep(df: DataFrame, name: str, hold: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: later stages survive lost executors without redoing it.
+
+    The table stays until drop(), or until the scratch() around it ends, as plans made of it may run at any time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/kvlake/{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)  # a writer holds a row group in memory
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_path = path
+    if _SCRATCH and not hold:
+        _SCRATCH[-1].append(out)
     return out
 
 
