@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kvlake.llm import chat, knn, lines, minhash, mixing, pages, pieces, quality, queries, sharding, toxicity
+from kvlake.llm import chat, knn, lines, minhash, mixing, pages, pieces, quality, queries, shared, sharding, toxicity
 from kvlake.llm.components import components
 from tests.conftest import same_rows
 
@@ -152,6 +152,31 @@ def test_toxicity_learns_and_holds_out(spark, edge):
     assert by[1] == by[2]
 
 
+def test_toxicity_sample_is_bounded_in_rows(spark, monkeypatch):
+    seen = []
+
+    def keep(df, name):
+        out = shared.keep(df, name)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(toxicity, "keep", keep)
+    docs = spark.createDataFrame([(i % 3, f"word{i} text", "en", "s", 1) for i in range(900)] + [(None, "x", "en", "s", 1)], DOC)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(3)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, sample_rows=10)
+    assert seen == [10] and all(0 <= r.toxic_score <= 1 for r in toxicity.score(docs, model).collect())
+    assert toxicity.score(docs, model).filter("doc_id IS NULL").select(toxicity.held_out().alias("h")).first().h is True
+
+
+def test_scratch_tables_go(spark):
+    with shared.scratch():
+        inner = shared.keep(spark.range(3), "inner")
+        outer = shared.keep(inner, "outer", hold=True)
+    assert outer.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+        spark.read.parquet(inner.kept_path).count()
+
+
 def test_toxicity_without_labels(spark, edge, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(edge, none)
