@@ -18,7 +18,7 @@ from kvlake.llm.shared import keep, running
 
 #: Bytes of text in a bucket. A task gets TASK_BYTES of buckets, or of a very large table a TASKS-th, up to MOST_BYTES; the
 #: aggregation that gathers them holds 128 buckets at most and sorts the rest on disk.
-BUCKET_BYTES, TASK_BYTES, MOST_BYTES, TASKS = 4 << 20, 64 << 20, 2 << 30, 40_000
+BUCKET_BYTES, TASK_BYTES, MOST_BYTES, TASKS = 4 << 20, 32 << 20, 2 << 30, 40_000
 
 
 def size_of(text="text"):
