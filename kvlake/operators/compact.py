@@ -92,6 +92,12 @@ def runs(rows: DataFrame, per_run: int) -> DataFrame:
     return rows.groupBy(run.alias("run")).agg(F.count(F.lit(1)).alias("entries"), F.min("k").alias("min_k"), F.max("k").alias("max_k"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
+def runs_by_size(rows: DataFrame, size: Column, most: int) -> DataFrame:
+    """rows (k, seq, ...) with run: the memtable that each goes to, a new one begun once the entries before it have filled the last with `most` bytes."""
+    told = running_sum(rows, ["seq"], size, "__upto")
+    return told.withColumn("run", F.floor(F.col("__upto") / most).cast("long")).drop("__upto")
+
+
 def install(files: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """The files after a compaction: inputs out, outputs in."""
     return files.join(inputs.select("level", "num"), ["level", "num"], "left_anti").unionByName(outputs)

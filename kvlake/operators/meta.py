@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kvlake.errors import Corruption
 from kvlake.operators.ordered import Ranges, at_or_below, islands, nearest, ranges, running, running_sum
 
 LEVELS = 7
@@ -178,6 +179,15 @@ def replay(edits: DataFrame) -> DataFrame:
     return edits.filter("value IS NOT NULL").groupBy("kind").agg(F.max_by("value", "edit_no").alias("value"))
 
 
+def recovered(edits: DataFrame, needed: tuple[str, ...] = ("log_number", "next_file_number", "last_seq")) -> dict:
+    """The scalars of a history; one that is needed and that no edit sets is Corruption."""
+    told = {r["kind"]: r["value"] for r in replay(edits).collect()}  # a row for each kind of scalar
+    lost = [k for k in needed if k not in told]
+    if lost:
+        raise Corruption(f"no edit sets {', '.join(lost)}")
+    return told
+
+
 def replay_files(edits: DataFrame) -> DataFrame:
     """Files after edits(edit_no, kind add or delete, level, num, size, smallest, largest): those last added and not deleted since.
 

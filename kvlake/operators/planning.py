@@ -87,3 +87,9 @@ def is_trivial(inputs: DataFrame, file_bytes: int = meta.FILE_BYTES) -> bool:
     """Whether compaction_inputs() are one file that may go down a level as it is."""
     n = {r["role"]: (r["n"], r["bytes"]) for r in inputs.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()}
     return n.get(0, (0, 0))[0] == 1 and 1 not in n and n.get(2, (0, 0))[1] < 10 * file_bytes
+
+
+def input_rows(rows: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Of rows (file, k, seq, ...) those of a compaction's own and next level's files, in internal key order."""
+    taken = inputs.filter("role < 2").select(F.col("num").alias("file"))
+    return rows.join(taken, "file", "left_semi").orderBy("k", F.desc("seq"))

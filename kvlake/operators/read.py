@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kvlake.errors import InvalidArgument
 from kvlake.operators.ordered import nearest
 
 #: Types that an aggregation buffer can update in place, so that hash aggregation is chosen.
@@ -103,3 +104,11 @@ def seek(log: DataFrame, probes: DataFrame, snapshot: int | None = None) -> Data
 def unique(rows: DataFrame, key: Column | str = "k") -> DataFrame:
     """Keys that occur more than once, which an ordered map does not allow."""
     return rows.groupBy(key).count().filter("count > 1")
+
+
+def checked(rows: DataFrame, key: Column | str = "k") -> DataFrame:
+    """rows, or InvalidArgument if a key occurs more than once."""
+    twice = unique(rows, key).first()
+    if twice is not None:
+        raise InvalidArgument(f"key {twice[0]!r} occurs {twice[1]} times")
+    return rows

@@ -303,6 +303,11 @@ def kv_flush_runs(spark, d):
     return compact.runs(the_log(spark, d), 1000)
 
 
+@query(_with(_LOG) + "SELECT k, seq, typ, v, coalesce(sum(40 + k % 7) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 4096 AS run FROM log")
+def kv_flush_by_size(spark, d):
+    return compact.runs_by_size(the_log(spark, d), 40 + F.col("k") % 7, 4096)
+
+
 # Files
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kvlake.errors import Corruption, IOFailure
+from kvlake.errors import Corruption, InvalidArgument, IOFailure
 from kvlake.functions import bytestrings as B
 from kvlake.operators import compact, log, merge, meta, planning, read
 from kvlake.sources import edits, tables
@@ -148,6 +148,26 @@ def test_codecs():
     assert B.slices(b"abcdef", [0, 2, 3]) == [b"ab", b"c", b"def"]
 
 
+def test_input_rows(store, files):
+    for level, low, high in ((0, "000", "zzz"), (1, "dab", "eab")):
+        rows = planning.input_rows(store, planning.compaction_inputs(files, level, planning.overlapping_inputs(files, level, low, high))).collect()
+        assert len(rows) == 12 and [(r.k, -r.seq) for r in rows] == sorted((r.k, -r.seq) for r in rows)
+
+
+def test_recovered_scalars(spark):
+    rows = [(1, "log_number", 3), (2, "last_seq", 30), (3, "log_number", 4), (4, "next_file_number", 10), (5, "comparator", None)]
+    edits_ = spark.createDataFrame(rows, "edit_no long, kind string, value long")
+    assert meta.recovered(edits_) == {"log_number": 4, "last_seq": 30, "next_file_number": 10}
+    with pytest.raises(Corruption, match="last_seq"):
+        meta.recovered(edits_.filter("kind <> 'last_seq'"))
+
+
+def test_repeated_keys_are_refused(store):
+    with pytest.raises(InvalidArgument):
+        read.checked(store)
+    assert read.checked(read.visible(store)).count() == 23
+
+
 def test_compaction_inputs(files):
     def many(level, low, high, file_bytes=meta.FILE_BYTES):
         made = planning.compaction_inputs(files, level, planning.overlapping_inputs(files, level, low, high), file_bytes)

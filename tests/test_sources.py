@@ -307,3 +307,17 @@ def test_hot_key_is_compacted_before_the_shuffle(spark):
     out = compact.compact(log, 2000)
     assert out.count() == 1001 and out.agg(F.min("seq")).first()[0] == 2000
     assert "Window" not in out._jdf.queryExecution().toString()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from kvlake.__main__ import main
+
+    path = f"file://{tmp_path}/cli"
+    with pytest.raises(NotFound):
+        main([path, "get", "a"], spark)
+    for argv in (["put", "a", "1"], ["put", "b", "2"], ["put", "c", "3"], ["delete", "b"], ["compact"]):
+        assert main([path, "--create", *argv], spark) == 0
+    assert main([path, "get", "a"], spark) == 0 and capsys.readouterr().out == "1\n"
+    assert main([path, "get", "b"], spark) == 1
+    assert main([path, "iter", "--reverse"], spark) == 0 and capsys.readouterr().out == "c => 3\na => 1\n"
+    assert main([path, "iter", "--low", "b"], spark) == 0 and capsys.readouterr().out == "c => 3\n"
