@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment: documents that share rare hashes are aligned, and common blocks leave the later one.
 
 A line starts after a newline, else where a sentence does, else, in long sentences, at a word whose hash is
-the least of its neighbourhood; no line has fewer than LINE_WORDS words, if its text has as many. Where a passage is
-cut depends on the passage alone but for a few words at its ends.
+the least of its neighbourhood, and every eight words where some few are repeated in turn; no line has fewer than LINE_WORDS
+words, if its text has as many. Where a passage is cut depends on the passage alone but for a few words at its ends.
 
 A line of itself is no sign of overlap: thousands of documents may hold it. What is hashed is a run of lines, the
 shortest of MIN_BLOCK_WORDS words or more that starts, or ends, at each line; two documents that share a run's hash
@@ -48,6 +48,12 @@ def _starts(raw: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray)
     after = np.searchsorted(start, breaks)  # the word that follows each newline
     after = after[(after > 0) & (after < n)]
     rank[np.unique(after)] >>= np.uint64(40)
+    for period in range(1, LINE_WORDS):  # words that go round have no least one: every eighth of them is preferred
+        same = h[period:] == h[:-period]
+        if np.count_nonzero(same) >= 8:
+            n_th = np.arange(1, len(same) + 1)
+            streak = n_th - np.maximum.accumulate(np.where(same, 0, n_th))
+            rank[period:][(streak > 0) & (streak % 8 == 0)] >>= np.uint64(10)
     inner = rank[LINE_WORDS : n - near]
     least = np.ones(len(inner), bool)
     for k in range(1, LINE_WORDS):
