@@ -6,7 +6,8 @@ threshold are confirmed on their full shingle sets.
 
 No group is expanded into all its pairs. Texts with one shingle set are one class. Each band bucket is
 first a star: its members are compared with its smallest class, and links join classes into components.
-Buckets that still hold more than one component are then compared in blocks of bounded size, where a
+Buckets that still hold more than one component are then compared in blocks of bounded size: first by
+signatures, 32 bytes each, then, of members that these leave a partner in another component, by texts, where a
 union-find stops at what is already joined and only joining links leave the task. So no link between
 components is lost, and a bucket of n near copies costs n rows.
 """
@@ -177,6 +178,40 @@ def _confirm(percent: int):
     return run
 
 
+def _likely(members: list[dict], apart: bool, percent: int) -> list[tuple[float, int, int]]:
+    """(estimate, place, place) of the members of different components that may be alike, of different sides where `apart`."""
+    bits = np.array([m["bits"] for m in members], np.int64).view(np.uint64)
+    side, comp = (np.array([m[c] for m in members]) for c in ("side", "comp"))
+    out = []
+    for i in range(len(members) - 1):
+        differ = np.bitwise_count((bits[i + 1 :, :2] ^ bits[i, :2]) | (bits[i + 1 :, 2:] ^ bits[i, 2:])).sum(axis=1)
+        near = ((HASHES - differ.astype(float)) / HASHES - 0.25) / 0.75
+        ok = (near >= lowest(percent / 100)) & (comp[i + 1 :] != comp[i])
+        if apart:
+            ok &= side[i + 1 :] != side[i]
+        out += [(near[k], i, i + 1 + k) for k in np.flatnonzero(ok).tolist()]
+    return out
+
+
+_MEMBER = "band long, value long, i int, j int, rep long, comp long, bits array<long>, side int"
+
+
+def _promising(percent: int):
+    """The members of each block, or pair of blocks, that signatures leave a partner in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for band, value, i, j, members in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                stay = {k for _, x, y in _likely(members, i != j, percent) for k in (x, y)}
+                out += [(band, value, i, j, *(members[k][c] for c in ("rep", "comp", "bits", "side"))) for k in sorted(stay)]
+            cells = list(zip(*out)) or [()] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], [f.split()[0] for f in _MEMBER.split(", ")])
+
+    return run
+
+
 def _join_blocks(percent: int):
     """Links that join components within a block, or between the two blocks of a pair."""
 
@@ -192,17 +227,7 @@ def _join_blocks(percent: int):
                         c = up[c]
                     return c
 
-                bits = np.array([m["bits"] for m in members], np.int64).view(np.uint64)
-                side = np.array([m["side"] for m in members])
-                order = []
-                for i in range(len(members)):
-                    differ = np.bitwise_count((bits[i + 1 :, :2] ^ bits[i, :2]) | (bits[i + 1 :, 2:] ^ bits[i, 2:])).sum(axis=1)
-                    near = ((HASHES - differ.astype(float)) / HASHES - 0.25) / 0.75
-                    ok = near >= lowest(percent / 100)
-                    if pair["i"] != pair["j"]:
-                        ok &= side[i + 1 :] != side[i]
-                    order += [(near[k], i, i + 1 + k) for k in np.flatnonzero(ok)]
-                for _, i, j in sorted(order, key=lambda t: (-t[0], t[1], t[2])):  # the likeliest first: most of the rest is then joined
+                for _, i, j in sorted(_likely(members, pair["i"] != pair["j"], percent), key=lambda t: (-t[0], t[1], t[2])):  # the likeliest first: most of the rest is then joined
                     r, s = root(members[i]["comp"]), root(members[j]["comp"])
                     if r != s and alike(sets[i], sets[j], percent):
                         up[max(r, s)] = min(r, s)
@@ -248,22 +273,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     comps = components(links)
 
     tagged = inside.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    parted = tagged.filter("n > 2").groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "value")
+    parted = keep(tagged.filter("n > 2").groupBy("band", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "value"), "parted")
     rest = keep(tagged.join(parted.hint("merge"), ["band", "value"]).select("band", "value", "rep", "comp", "n", "size"), "rest")
     if not rest.isEmpty():
         blocks = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
         own = rest.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
         dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        dealt = dealt.join(of, "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-        groups = dealt.groupBy("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(
-            F.sort_array(F.collect_list(F.struct("rep", "comp", "bits", F.col("own").alias("side"), "text"))).alias("members"),
+        keys = ["band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+        signed = dealt.join(of, "rep").groupBy(*keys).agg(F.collect_list(F.struct("rep", "comp", "bits", F.col("own").alias("side"))).alias("members"))
+        likely = keep(signed.mapInArrow(_promising(percent), _MEMBER), "likely")  # texts go only where signatures leave a pair
+        groups = likely.join(texts.withColumnRenamed("doc_id", "rep"), "rep").groupBy("band", "value", "i", "j").agg(
+            F.sort_array(F.collect_list(F.struct("rep", "comp", "bits", "side", "text"))).alias("members"),
         )
         more = groups.select(F.struct("i", "j").alias("pair"), "members").mapInArrow(_join_blocks(percent), "u long, v long")
         all_links = keep(links.union(more), "links")
         drop(comps)
         comps = components(all_links)
-        drop(all_links)
-    drop(buckets, inside, rest, links)
+        drop(all_links, likely)
+    drop(buckets, inside, parted, rest, links)
     whole = classes.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("d"), F.coalesce("comp", "rep").alias("component"))
     out = feats.select("doc_id", "n_shingles", "digest").join(whole, F.col("digest") == F.col("d"), "left")
     own_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
