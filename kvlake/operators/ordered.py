@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _P = "__range"
-#: Keys sampled for each range; up to so many ranges are found by comparison with each, more by bisection.
-SAMPLED, FEW = 32, 16
+#: Keys sampled for each range; up to so many ranges are found by comparison with each, more by bisection. What Catalyst takes for
+#: no larger than ONE_RANGE bytes, one partition as it would be merged anyhow, is one range.
+SAMPLED, FEW, ONE_RANGE = 32, 16, 64 << 20
 
 
 def _key(order: list) -> Column:
@@ -40,7 +41,9 @@ class Ranges:
 
 
 def ranges(df: DataFrame, order: list, parts: int | None = None) -> Ranges:
-    """Ranges with about as many rows each; order: ascending columns. Tables of fewer rows than are sampled are one range."""
+    """Ranges with about as many rows each, `parts` if given; order: ascending columns. Small tables are one range."""
+    if parts is None and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= ONE_RANGE:
+        return Ranges(None, 0)
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = df.select(_key(order).alias("o")).orderBy(F.rand(7)).limit(parts * SAMPLED)
     some = [r["o"] for r in keys.orderBy("o").collect()] if parts > 1 else []
@@ -57,6 +60,9 @@ def running(df: DataFrame, order: list, value: Column, name: str, how: str = "su
     f = {"sum": F.sum, "max": F.max}[how]
     cut = cut or ranges(df, order, parts)
     rows = df.withColumns({"__value": value, _P: cut.of(order)})
+    if cut.starts is None:
+        told = f("__value").over(Window.partitionBy(_P).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        return rows.select(*df.columns, (F.coalesce(told, F.lit(0)) if how == "sum" else told).alias(name))
     inside = f("__value").over(Window.partitionBy(_P).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     each = rows.groupBy(_P).agg(f("__value").alias("__e"))
     before = each.select(F.col(_P).alias("__r"), f("__e").over(Window.orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
@@ -72,8 +78,11 @@ def running_sum(df: DataFrame, order: list, value: Column, name: str, parts: int
 
 def neighbours(df: DataFrame, parts: int | None = None) -> DataFrame:
     """df(k, ...) with prev_k and next_k in key order."""
-    cut = df.withColumn(_P, ranges(df, ["k"], parts).of(["k"]))
+    found = ranges(df, ["k"], parts)
+    cut = df.withColumn(_P, found.of(["k"]))
     inner, order = Window.partitionBy(_P).orderBy("k"), Window.orderBy(_P)
+    if found.starts is None:
+        return cut.withColumns({"prev_k": F.lag("k").over(inner), "next_k": F.lead("k").over(inner)}).drop(_P)
     edge = cut.groupBy(_P).agg(F.min("k").alias("__lo"), F.max("k").alias("__hi"))
     edge = edge.select(_P, F.lag("__hi").over(order).alias("__before"), F.lead("__lo").over(order).alias("__after"))
     near = cut.withColumns({"prev_k": F.lag("k").over(inner), "next_k": F.lead("k").over(inner)})
@@ -88,10 +97,13 @@ def nearest(hits: DataFrame, probes: DataFrame, parts: int | None = None) -> Dat
     """
     columns = [F.col(c) for c in hits.columns]
     both = hits.select("k", F.struct(*columns).alias("hit"), F.lit(1).alias("side")).unionByName(probes.select("k").dropDuplicates().withColumn("side", F.lit(0)), allowMissingColumns=True)
-    cut = both.withColumn(_P, ranges(both.select("k"), ["k"], parts).of(["k"]))
+    found = ranges(both, ["k"], parts)
+    cut = both.withColumn(_P, found.of(["k"]))
     rows = (Window.unboundedPreceding, 0)
     up = F.last("hit", ignorenulls=True).over(Window.partitionBy(_P).orderBy(F.desc("k"), F.desc("side")).rowsBetween(*rows))
     down = F.last("hit", ignorenulls=True).over(Window.partitionBy(_P).orderBy("k", "side").rowsBetween(*rows))
+    if found.starts is None:
+        return cut.withColumns({"ceil": up, "floor": down}).filter("side = 0").select("k", "ceil", "floor")
     at = F.when(F.col("side") == 1, F.col("k"))
     edge = cut.groupBy(_P).agg(F.min_by("hit", at).alias("__lo"), F.max_by("hit", at).alias("__hi"))
     order = Window.orderBy(_P)
