@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     pairs = inside.filter("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).dropDuplicates()
     pairs = pairs.join(of.select(F.col("rep").alias("u"), F.col("bits").alias("a")), "u").join(of.select(F.col("rep").alias("v"), F.col("bits").alias("b")), "v")
     pairs = pairs.filter(estimate(F.col("a"), F.col("b")) >= lowest(percent / 100)).select("u", "v")
-    near = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("y")), "v")
+    # Pairs grow with docs: texts come to them by the same plan at any size.
+    near = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("x")).hint("merge"), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("y")).hint("merge"), "v")
     links = keep(near.select("u", "v", "x", "y").mapInArrow(_confirm(percent), "u long, v long"), "links")
     comps = components(links)
 
@@ -282,7 +283,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         keys = ["band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
         signed = dealt.join(of, "rep").groupBy(*keys).agg(F.collect_list(F.struct("rep", "comp", "bits", F.col("own").alias("side"))).alias("members"))
         likely = keep(signed.mapInArrow(_promising(percent), _MEMBER), "likely")  # texts go only where signatures leave a pair
-        groups = likely.join(texts.withColumnRenamed("doc_id", "rep"), "rep").groupBy("band", "value", "i", "j").agg(
+        groups = likely.join(texts.withColumnRenamed("doc_id", "rep").hint("merge"), "rep").groupBy("band", "value", "i", "j").agg(
             F.sort_array(F.collect_list(F.struct("rep", "comp", "bits", "side", "text"))).alias("members"),
         )
         more = groups.select(F.struct("i", "j").alias("pair"), "members").mapInArrow(_join_blocks(percent), "u long, v long")
