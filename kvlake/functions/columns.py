@@ -24,11 +24,11 @@ def tag_type(tag: Column) -> Column:
 
 
 def varint_length(n: Column) -> Column:
-    """Bytes of n as a base-128 varint."""
+    """Bytes of n as a base-128 varint; null of a null."""
     out = F.lit(1)
     for bytes_ in range(2, 10):
         out = F.when(n >= (1 << (7 * (bytes_ - 1))), F.lit(bytes_)).otherwise(out)
-    return out
+    return F.when(n.isNotNull(), out)
 
 
 _LOW32 = 0xFFFFFFFF
