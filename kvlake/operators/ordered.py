@@ -1,5 +1,5 @@
 """Order-dependent operators without a single task: rows are cut into key ranges, each is ordered by its own task, and one
-row per range carries what crosses from one range to the next.
+row per range carries what crosses from one range to the next. How many ranges there are follows from the number of rows.
 
 Where ranges begin is sampled once, a bounded number of keys, and stands in the plan as a constant: every branch that
 reads the cut, and every task that is run again, sees the same ranges, so nothing need be written.
@@ -7,66 +7,100 @@ reads the cut, and every task that is run again, sees the same ranges, so nothin
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _P = "__range"
-#: Keys sampled for each range; up to so many ranges are found by comparison with each, more by bisection. What Catalyst takes for
-#: no larger than ONE_RANGE bytes, one partition as it would be merged anyhow, is one range.
-SAMPLED, FEW, ONE_RANGE = 32, 16, 64 << 20
+#: Keys sampled for each range; up to so many ranges are found by a tree of comparisons, more by bisection, which is not compiled.
+SAMPLED, FEW = 32, 64
+#: Rows of a range, and the most ranges, as each is a constant in the plan: past ROWS * MOST rows ranges are longer and their sorts spill.
+ROWS, MOST = 1 << 20, 8192
+#: What Catalyst takes for no larger than ONE_RANGE bytes is one range without a sample. Its bytes are those of compressed files.
+FIRST, ONE_RANGE = 512 * SAMPLED, 1 << 20
 
 
 def _key(order: list) -> Column:
     return F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)])
 
 
+def _from(key: list[Column], start: tuple, types: list) -> Column:
+    """Whether a key is at or after the start, column by column, nulls first; null counts as no."""
+    out = F.lit(True)
+    for k, v, t in reversed(list(zip(key, start, types, strict=True))):
+        past, same = (k.isNotNull(), k.isNull()) if v is None else (k > F.lit(v).cast(t), k == F.lit(v).cast(t))
+        out = past | (same & out)
+    return out
+
+
 @dataclass(frozen=True)
 class Ranges:
-    """Keys at which the second and later ranges begin, as an array of structs in the plan."""
+    """Keys at which the second and later ranges begin, constants of a plan, and the types of their columns."""
+
+    starts: list[tuple] | None = None
+    types: list | None = None
 
-    starts: Column | None
-    many: int
+    @property
+    def many(self) -> int:
+        return len(self.starts or ()) + 1
 
     def of(self, order: list) -> Column:
         """The number of the range that a row is in, from 0."""
         if self.starts is None:
             return F.lit(0)
-        key = _key(order)
         if self.many <= FEW:
-            return sum((F.get(self.starts, F.lit(i)) <= key).cast("int") for i in range(self.many))
-        steps = F.array(*[F.lit(1 << s) for s in reversed(range(self.many.bit_length()))])
-        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(self.starts, at + step - 1) <= key, at + step).otherwise(at))
+            key = [F.col(o) if isinstance(o, str) else o for o in order]
+
+            def between(low: int, high: int) -> Column:
+                mid = (low + high) // 2
+                return F.lit(low) if low == high else F.when(_from(key, self.starts[mid], self.types), between(mid + 1, high)).otherwise(between(low, mid))
+
+            return between(0, len(self.starts))
+        key = _key(order)
+        starts = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"o{i}") for i, (v, t) in enumerate(zip(row, self.types, strict=True))]) for row in self.starts])
+        steps = F.array(*[F.lit(1 << n) for n in reversed(range(len(self.starts).bit_length()))])
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(starts, at + step - 1) <= key, at + step).otherwise(at))
+
+
+def cut_rows(df: DataFrame, order: list, cut: Ranges) -> DataFrame:
+    """df with the range of each row, each range in a task of its own, whatever the session's number of tasks."""
+    rows = df.withColumn(_P, cut.of(order))
+    return rows if cut.starts is None else rows.repartitionById(cut.many, F.col(_P))
 
 
 def ranges(df: DataFrame, order: list, parts: int | None = None) -> Ranges:
-    """Ranges with about as many rows each, `parts` if given; order: ascending columns. Small tables are one range."""
-    if parts is None and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= ONE_RANGE:
-        return Ranges(None, 0)
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(_key(order).alias("o")).orderBy(F.rand(7)).limit(parts * SAMPLED)
-    some = [r["o"] for r in keys.orderBy("o").collect()] if parts > 1 else []
-    if len(some) < parts * SAMPLED:
-        return Ranges(None, 0)
-    types = [f.dataType for f in keys.schema["o"].dataType.fields]
-    picked = list(dict.fromkeys(some[i * SAMPLED] for i in range(1, parts)))
-    starts = [F.struct(*[F.lit(v).cast(t).alias(f"o{i}") for i, (v, t) in enumerate(zip(row, types, strict=True))]) for row in picked]
-    return Ranges(F.array(*starts), len(starts))
+    """Ranges with about as many rows each, `parts` if given, else of about ROWS rows; order: ascending columns. Small tables are one range."""
+    if parts == 1 or parts is None and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= ONE_RANGE:
+        return Ranges()
+    drawn = df.select(_key(order).alias("o"), F.rand(7).alias("r"))
+    many = parts * SAMPLED if parts else FIRST
+    some = drawn.orderBy("r").limit(many).orderBy("o").collect()
+    if len(some) < many:
+        return Ranges()
+    if parts is None:  # of n uniform numbers the m-th smallest is about m / n
+        parts = min(math.ceil(many / max(x["r"] for x in some) / ROWS), MOST)
+        if parts * SAMPLED > many:
+            return ranges(df, order, parts)
+    types = [f.dataType for f in drawn.schema["o"].dataType.fields]
+    picked = list(dict.fromkeys(tuple(some[i * many // parts]["o"]) for i in range(1, parts)))
+    return Ranges(picked, types) if picked else Ranges()
 
 
 def running(df: DataFrame, order: list, value: Column, name: str, how: str = "sum", cut: Ranges | None = None, parts: int | None = None) -> DataFrame:
     """df with the sum (0 if none) or max (null if none) of value over the rows before each; order must tell all rows apart for a defined result."""
     f = {"sum": F.sum, "max": F.max}[how]
     cut = cut or ranges(df, order, parts)
-    rows = df.withColumns({"__value": value, _P: cut.of(order)})
+    valued = df.withColumn("__value", value)
+    rows = valued.withColumn(_P, cut.of(order))
     if cut.starts is None:
         told = f("__value").over(Window.partitionBy(_P).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
         return rows.select(*df.columns, (F.coalesce(told, F.lit(0)) if how == "sum" else told).alias(name))
     inside = f("__value").over(Window.partitionBy(_P).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     each = rows.groupBy(_P).agg(f("__value").alias("__e"))
     before = each.select(F.col(_P).alias("__r"), f("__e").over(Window.orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
-    told = rows.withColumn("__inside", inside).join(F.broadcast(before), F.col(_P) == F.col("__r"))  # a row per range
+    told = cut_rows(valued, order, cut).withColumn("__inside", inside).join(F.broadcast(before), F.col(_P) == F.col("__r"))  # a row per range
     both = F.coalesce("__inside", F.lit(0)) + F.coalesce("__before", F.lit(0)) if how == "sum" else F.greatest("__inside", "__before")
     return told.select(*df.columns, both.alias(name))
 
@@ -85,7 +119,7 @@ def neighbours(df: DataFrame, parts: int | None = None) -> DataFrame:
         return cut.withColumns({"prev_k": F.lag("k").over(inner), "next_k": F.lead("k").over(inner)}).drop(_P)
     edge = cut.groupBy(_P).agg(F.min("k").alias("__lo"), F.max("k").alias("__hi"))
     edge = edge.select(_P, F.lag("__hi").over(order).alias("__before"), F.lead("__lo").over(order).alias("__after"))
-    near = cut.withColumns({"prev_k": F.lag("k").over(inner), "next_k": F.lead("k").over(inner)})
+    near = cut_rows(df, ["k"], found).withColumns({"prev_k": F.lag("k").over(inner), "next_k": F.lead("k").over(inner)})
     return near.join(F.broadcast(edge), _P).withColumns({"prev_k": F.coalesce("prev_k", "__before"), "next_k": F.coalesce("next_k", "__after")}).drop(_P, "__before", "__after")
 
 
@@ -112,7 +146,7 @@ def nearest(hits: DataFrame, probes: DataFrame, parts: int | None = None) -> Dat
         F.first("__lo", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
         F.last("__hi", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
     )
-    told = cut.withColumns({"__ceil": up, "__floor": down}).filter("side = 0").join(F.broadcast(edge), _P)
+    told = cut_rows(both, ["k"], found).withColumns({"__ceil": up, "__floor": down}).filter("side = 0").join(F.broadcast(edge), _P)
     return told.select("k", F.coalesce("__ceil", "__after").alias("ceil"), F.coalesce("__floor", "__before").alias("floor"))
 
 

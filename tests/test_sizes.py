@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from kvlake.functions import columns as C
+from kvlake.operators import ordered
 from kvlake.plans import catalog
 from tests.conftest import same_rows
 
@@ -16,3 +17,20 @@ def test_lengths_of_large_numbers(spark, tmp_path):
     same_rows(catalog.fn_varint_len(spark, str(tmp_path)), duck, catalog.SQL["fn_varint_len"])
     lengths = spark.range(63).select(C.varint_length(F.expr("shiftleft(1L, int(id))")).alias("n")).collect()
     assert [r.n for r in lengths] == [i // 7 + 1 for i in range(63)]  # the function's own lengths go on
+
+
+def test_ranges_follow_rows_and_not_compressed_bytes(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS", 10_000, raising=False)
+    df = spark.range(200_000).selectExpr("nullif(id * 7919 % 200000, 5) AS k", "-id AS n")  # 3.2 MB for Catalyst
+    for order in (["k"], ["k", -F.col("n")], [-F.col("n")]):
+        cut = ordered.ranges(df, order)
+        many = [r["count"] for r in df.groupBy(cut.of(order).alias("r")).count().collect()]
+        assert 15 <= len(many) <= 25 and max(many) < 20_000
+        found = ordered.cut_rows(df, order, cut).groupBy("__range", F.spark_partition_id().alias("task")).count().collect()
+        assert len({r.task for r in found}) == len(found) == len(many)  # no task has two
+    told = ordered.running_sum(df.filter("k IS NOT NULL"), ["k"], F.lit(1), "before")
+    assert told.filter("before <> k - int(k > 5)").count() == 0
+    near = ordered.neighbours(df.filter("k IS NOT NULL"))
+    assert near.filter("NOT (prev_k <=> nullif(k - 1 - int(k = 6), -1) AND next_k <=> nullif(k + 1 + int(k = 4), 200000))").count() == 0
+    monkeypatch.setattr(ordered, "FEW", 1)  # by bisection
+    assert df.select(ordered.ranges(df, ["k"]).of(["k"]).alias("r"), "k").groupBy("r").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("hi - lo > 20000").count() == 0
