@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvlake.errors import Corruption
-from kvlake.operators.ordered import Ranges, at_or_below, islands, nearest, ranges, running, running_sum
+from kvlake.operators.ordered import at_or_below, islands, nearest, ranges, running, running_sum
 
 LEVELS = 7
 BASE_BYTES = 10 << 20
@@ -57,30 +57,58 @@ def pick_file(files: DataFrame, level: int, pointer=None) -> DataFrame:
     return own.orderBy(F.desc(after), "smallest", "num").limit(1)
 
 
-def _spread(files: DataFrame, cut: Ranges) -> DataFrame:
-    """files once for each range of keys that they meet: with __cell, and __first, that of their smallest key."""
-    first, last = (cut.of([F.col(c).alias("k")]) for c in ("smallest", "largest"))
-    return files.withColumn("__first", first).withColumn("__cell", F.explode(F.sequence("__first", last)))
+#: Rows of a cell, and bits of how many nodes make one of the next of LEVELS_UP levels.
+CELL, BITS, LEVELS_UP = 16, 5, 2
+#: Rows that a task puts in order: fewer than elsewhere, as it has them twice, and their nodes, where there is but one range.
+HELD = 1 << 18
 
 
-def holding(files: DataFrame, probes: DataFrame) -> DataFrame:
-    """probe k joined to the files whose range holds it: k, level, num.
+def _nodes(first: Column, last: Column) -> Column:
+    """The fewest nodes that cover the cells from first to last, as numbers of node and level; past the top level there are many."""
+    run = lambda low, end, level: F.when(low < end, F.transform(F.sequence(low, end - 1), lambda n: n * (LEVELS_UP + 1) + level)).otherwise(F.array().cast("array<bigint>"))
+    low, end, out = first, last + 1, F.array().cast("array<bigint>")
+    for level in range(LEVELS_UP):
+        up_low, up_end = F.shiftright(low + ((1 << BITS) - 1), BITS), F.shiftright(end, BITS)
+        met = up_low < up_end
+        left = run(low, F.when(met, F.shiftleft(up_low, BITS)).otherwise(end), level)
+        out = F.concat(out, left, run(F.when(met, F.shiftleft(up_end, BITS)).otherwise(end), end, level))
+        low, end = up_low, F.when(met, up_end).otherwise(up_low)
+    return F.concat(out, run(low, end, LEVELS_UP))
+
+
+def stabbed(files: DataFrame, probes: DataFrame) -> DataFrame:
+    """Each probe (k, ...) with each file (smallest, largest, ...) whose closed range holds it: probe and file, as structs.
 
-    Files are dealt to the ranges of keys that they meet, probes to theirs, and only those of one range are compared: neither
-    side is sent whole to every task.
+    Ends of files and probes are numbered in key order, of one key smallest keys first and largest last, and each CELL numbers make a
+    cell, however often a key comes. A file goes to the nodes of a tree over the cells that cover it, a probe to those that it is
+    under, and what meets in a node is a pair but for a file's first and last cell: the work grows with the rows and the pairs.
     """
-    cut = ranges(files.select(F.col("smallest").alias("k")), ["k"])
-    probes = probes.select("k").withColumn("__cell", cut.of(["k"]))
-    return probes.join(_spread(files, cut), "__cell").filter((F.col("k") >= F.col("smallest")) & (F.col("k") <= F.col("largest"))).select("k", "level", "num")
+    ends = F.array(*[F.struct(F.col(c).alias("k"), F.lit(side).alias("side")) for c, side in (("smallest", 0), ("largest", 2))])
+    bounds = files.filter("smallest <= largest").select(F.struct(*files.columns).alias("file"), F.explode(ends).alias("e")).select("e.k", "e.side", "file")
+    asked = probes.filter("k IS NOT NULL").select("k", F.lit(1).alias("side"), F.struct(*probes.columns).alias("probe"))
+    both, order = bounds.unionByName(asked, allowMissingColumns=True), ["k", "side"]
+    placed = running(both, order, F.lit(1), "at", cut=ranges(both, order, rows=HELD)).withColumn("cell", F.floor(F.col("at") / CELL))
+    held = placed.filter("side <> 1").groupBy("file").agg(F.min("cell").alias("first"), F.max("cell").alias("last"), F.count(F.when(F.col("side") == 0, 1)).alias("copies"))
+    held = held.select("file", "copies", F.explode(_nodes(F.col("first"), F.col("last"))).alias("node"))
+    under = F.array(*[F.shiftright("cell", BITS * n) * (LEVELS_UP + 1) + n for n in range(LEVELS_UP + 1)])
+    met = placed.filter("side = 1").select("k", "probe", F.explode(under).alias("node")).join(held, "node")
+    met = met.filter((F.col("k") >= F.col("file.smallest")) & (F.col("k") <= F.col("file.largest")))
+    return met.select("probe", "file", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("probe", "file")
+
+
+def holding(files: DataFrame, probes: DataFrame) -> DataFrame:
+    """probe k joined to the files whose range holds it: k, level, num."""
+    return stabbed(files.select("level", "num", "smallest", "largest"), probes.select("k")).select("probe.k", "file.level", "file.num")
 
 
-def _overlaps(upper: DataFrame, lower: DataFrame, files: DataFrame) -> DataFrame:
-    """Pairs of files, columns a_* and b_*, that overlap; each pair is met in the range where the later of the two begins."""
-    cut = ranges(files.select(F.col("smallest").alias("k")), ["k"])
-    a, b = (_spread(x, cut).select("__cell", "__first", "level", "num", "size", "smallest", "largest") for x in (upper, lower))
-    a, b = (x.select("__cell", *[F.col(c).alias(f"{n}_{c.strip('_')}") for c in x.columns[1:]]) for n, x in (("a", a), ("b", b)))
-    both = a.join(b, "__cell").filter(F.col("__cell") == F.greatest("a_first", "b_first"))
-    return both.filter((F.col("b_smallest") <= F.col("a_largest")) & (F.col("b_largest") >= F.col("a_smallest")))
+def _overlaps(upper: DataFrame, lower: DataFrame) -> DataFrame:
+    """Pairs of files, columns a_* and b_*, that overlap: the later of the two begins inside the other."""
+    columns = ["level", "num", "size", "smallest", "largest"]
+    own, other = (x.select(F.col("smallest").alias("k"), *columns) for x in (upper, lower))
+    begun = stabbed(lower.select(*columns), own).select(F.col("probe").alias("a"), F.col("file").alias("b"))
+    after = stabbed(upper.select(*columns), other).select(F.col("file").alias("a"), F.col("probe").alias("b")).filter("b.smallest > a.smallest")
+    pairs = [x.select(*[F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in "ab" for c in columns]) for x in (begun, after)]
+    return pairs[0].unionByName(pairs[1])
 
 
 def pruned(files: DataFrame, probes: DataFrame) -> DataFrame:
@@ -115,7 +143,7 @@ def overlapping_closed(files: DataFrame, low=None, high=None) -> DataFrame:
 def next_level_overlap(files: DataFrame) -> DataFrame:
     """For each file of levels 1 to 5 the bytes of the next level's files that it overlaps: level, num, bytes."""
     own = files.filter("level BETWEEN 1 AND 5")
-    found = _overlaps(own, files, files).filter("b_level = a_level + 1").groupBy(F.col("a_level").alias("level"), F.col("a_num").alias("num")).agg(F.sum("b_size").alias("b"))
+    found = _overlaps(own, files).filter("b_level = a_level + 1").groupBy(F.col("a_level").alias("level"), F.col("a_num").alias("num")).agg(F.sum("b_size").alias("b"))
     return own.select("level", "num").join(found, ["level", "num"], "left").select("level", "num", F.coalesce("b", F.lit(0)).cast("long").alias("bytes"))
 
 
@@ -151,7 +179,7 @@ def output_level(files: DataFrame, low, high, most: int = 20 << 20, deepest: int
 def trivial_moves(files: DataFrame, most: int = 10 * FILE_BYTES) -> DataFrame:
     """Files that may go down as they are: nothing overlaps in the next level, little in the one after: level, num."""
     own = files.filter(F.col("level") < LEVELS - 1)
-    near = _overlaps(own, files, files).filter("b_level BETWEEN a_level + 1 AND a_level + 2")
+    near = _overlaps(own, files).filter("b_level BETWEEN a_level + 1 AND a_level + 2")
     found = near.groupBy(F.col("a_level").alias("level"), F.col("a_num").alias("num")).agg(
         F.count(F.when(F.col("b_level") == F.col("a_level") + 1, 1)).alias("n"), F.sum(F.when(F.col("b_level") == F.col("a_level") + 2, F.col("b_size"))).alias("bytes")
     )

@@ -70,8 +70,8 @@ def cut_rows(df: DataFrame, order: list, cut: Ranges) -> DataFrame:
     return rows if cut.starts is None else rows.repartitionById(cut.many, F.col(_P))
 
 
-def ranges(df: DataFrame, order: list, parts: int | None = None) -> Ranges:
-    """Ranges with about as many rows each, `parts` if given, else of about ROWS rows; order: ascending columns. Small tables are one range."""
+def ranges(df: DataFrame, order: list, parts: int | None = None, rows: int | None = None) -> Ranges:
+    """Ranges with about as many rows each, `parts` if given, else of about `rows`, or ROWS; order: ascending columns. Small tables are one range."""
     if parts == 1 or parts is None and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= ONE_RANGE:
         return Ranges()
     drawn = df.select(_key(order).alias("o"), F.rand(7).alias("r"))
@@ -80,7 +80,7 @@ def ranges(df: DataFrame, order: list, parts: int | None = None) -> Ranges:
     if len(some) < many:
         return Ranges()
     if parts is None:  # of n uniform numbers the m-th smallest is about m / n
-        parts = min(math.ceil(many / max(x["r"] for x in some) / ROWS), MOST)
+        parts = min(math.ceil(many / max(x["r"] for x in some) / (rows or ROWS)), MOST)
         if parts * SAMPLED > many:
             return ranges(df, order, parts)
     types = [f.dataType for f in drawn.schema["o"].dataType.fields]

@@ -1,10 +1,12 @@
 """What shows only on keys or tables larger than those of the test data."""
 
+import re
+
 import duckdb
 from pyspark.sql import functions as F
 
 from kvlake.functions import columns as C
-from kvlake.operators import ordered
+from kvlake.operators import meta, ordered
 from kvlake.plans import catalog
 from tests.conftest import same_rows
 
@@ -34,3 +36,27 @@ def test_ranges_follow_rows_and_not_compressed_bytes(spark, monkeypatch):
     assert near.filter("NOT (prev_k <=> nullif(k - 1 - int(k = 6), -1) AND next_k <=> nullif(k + 1 + int(k = 4), 200000))").count() == 0
     monkeypatch.setattr(ordered, "FEW", 1)  # by bisection
     assert df.select(ordered.ranges(df, ["k"]).of(["k"]).alias("r"), "k").groupBy("r").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("hi - lo > 20000").count() == 0
+
+
+def test_probes_meet_the_files_that_hold_them_and_few_others(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS", 10_000, raising=False)
+    files = spark.range(3000).selectExpr("3 AS level", "id AS num", "20 * id AS smallest", "20 * id + 12 AS largest", "1L AS size").unionByName(
+        spark.createDataFrame([(0, 9000, 5, 59_000, 1), (0, 9001, 300, 300, 1), (1, 9002, 7, 2, 1), (1, 9003, 100, 31_000, 1), (1, 9003, 100, 31_000, 1)], "level int, num long, smallest long, largest long, size long")
+    )
+    probes = spark.range(60_000).selectExpr("CASE WHEN id < 59000 THEN id WHEN id < 59990 THEN 300 END AS k")
+    hits = meta.holding(files, probes)
+    assert hits.filter("level = 3").count() == 13 * 2950 + 990  # of each 20 keys 13 are in a file, and so is 300, again and again
+    assert hits.filter("k NOT BETWEEN 20 * num AND 20 * num + 12 AND level = 3").count() == 0
+    assert [hits.filter(f"num = {n}").count() for n in (9000, 9001, 9002, 9003)] == [58_995 + 990, 991, 0, 2 * (30_901 + 990)]
+    plan = hits._jdf.queryExecution()
+    joins = re.findall(r"(?:Join|HashJoin) \[node#\d+L\]", plan.executedPlan().toString())
+    assert joins, "probes and files meet by nodes"
+
+
+def test_overlaps_are_found_once(spark):
+    a = [(1, i, 1, 10 * i, 10 * i + 9) for i in range(40)] + [(1, 99, 1, 5, 300)]
+    b = [(2, i, i, 7 * i, 7 * i + 6) for i in range(60)] + [(2, 99, 100, 100, 109), (2, 98, 1000, 0, 399)]
+    files = spark.createDataFrame(a + b, "level int, num long, size long, smallest long, largest long")
+    want = {x[1]: sum(y[2] for y in b if y[3] <= x[4] and y[4] >= x[3]) for x in a}
+    got = meta.next_level_overlap(files).filter("level = 1").collect()
+    assert {r.num: r.bytes for r in got} == want and len(got) == len(a)
