@@ -3,6 +3,7 @@
 import re
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from kvlake.functions import columns as C
@@ -60,3 +61,17 @@ def test_overlaps_are_found_once(spark):
     want = {x[1]: sum(y[2] for y in b if y[3] <= x[4] and y[4] >= x[3]) for x in a}
     got = meta.next_level_overlap(files).filter("level = 1").collect()
     assert {r.num: r.bytes for r in got} == want and len(got) == len(a)
+
+
+@pytest.mark.parametrize("name", ["kv_append", "meta_output_split"])
+def test_no_task_orders_a_whole_table(spark, monkeypatch, tmp_path, name):
+    monkeypatch.setattr(ordered, "ROWS", 10_000, raising=False)
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE events AS SELECT i AS event_id, i * 7919 % 997 AS user_id, CASE WHEN i % 9 = 0 THEN 'error' ELSE 'view' END AS event_type, random() AS value FROM range(200000) r(i)")
+    duck.execute("CREATE TABLE orders AS SELECT i * 7919 % 200000 AS o_orderkey, random() AS o_totalprice FROM range(200000) r(i)")
+    for t in ("events", "orders"):
+        duck.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    made = catalog.QUERIES[name](spark, str(tmp_path))
+    same_rows(made, duck, catalog.SQL[name])
+    dealt = re.findall(r"direct_shuffle_partition_id\(__range#\d+\), (\d+)", made._jdf.queryExecution().executedPlan().toString())
+    assert dealt and min(map(int, dealt)) >= 15
