@@ -63,7 +63,7 @@ def test_overlaps_are_found_once(spark):
     assert {r.num: r.bytes for r in got} == want and len(got) == len(a)
 
 
-@pytest.mark.parametrize("name", ["kv_append", "meta_output_split"])
+@pytest.mark.parametrize("name", ["kv_append", "meta_output_split", "kv_flush_by_size"])
 def test_no_task_orders_a_whole_table(spark, monkeypatch, tmp_path, name):
     monkeypatch.setattr(ordered, "ROWS", 10_000, raising=False)
     duck = duckdb.connect()
