@@ -75,3 +75,12 @@ def test_no_task_orders_a_whole_table(spark, monkeypatch, tmp_path, name):
     same_rows(made, duck, catalog.SQL[name])
     dealt = re.findall(r"direct_shuffle_partition_id\(__range#\d+\), (\d+)", made._jdf.queryExecution().executedPlan().toString())
     assert dealt and min(map(int, dealt)) >= 15
+
+
+def test_seek_charges_compare_within_nodes(spark):
+    files = spark.createDataFrame([(0, 7, 1, 100, 200), (0, 8, 1, 150, 900), (2, 9, 1, 0, 149), (3, 10, 1 << 24, 0, 950)], "level int, num long, size long, smallest long, largest long")
+    probes = spark.range(1000).withColumnRenamed("id", "k")
+    made = meta.seek_charges(files, probes)
+    assert {(r.level, r.num): (r.charges, r.allowed, r.due) for r in made.collect()} == {(0, 7): (50, 100, False), (0, 8): (751, 100, True), (2, 9): (100, 100, True)}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "node#" in plan and "__cell" not in plan  # nothing is compared with a whole range
