@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _P = "__range"
-#: Keys sampled for each range; up to so many ranges are found by a tree of comparisons, more by bisection, which is not compiled.
-SAMPLED, FEW = 32, 64
+#: Keys sampled for each range; up to so many ranges are found by one expression, a tree of comparisons, which the JVM leaves uncompiled if it is longer.
+SAMPLED, FEW = 32, 8
 #: Rows of a range, and the most ranges, as each is a constant in the plan: past ROWS * MOST rows ranges are longer and their sorts spill.
 ROWS, MOST = 1 << 20, 8192
 #: What Catalyst takes for no larger than ONE_RANGE bytes is one range without a sample. Its bytes are those of compressed files.
@@ -58,15 +58,40 @@ class Ranges:
                 return F.lit(low) if low == high else F.when(_from(key, self.starts[mid], self.types), between(mid + 1, high)).otherwise(between(low, mid))
 
             return between(0, len(self.starts))
-        key = _key(order)
-        starts = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"o{i}") for i, (v, t) in enumerate(zip(row, self.types, strict=True))]) for row in self.starts])
         steps = F.array(*[F.lit(1 << n) for n in reversed(range(len(self.starts).bit_length()))])
+        key, starts = _key(order), self._whole(self.starts)
         return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(starts, at + step - 1) <= key, at + step).otherwise(at))
 
+    def _whole(self, starts: list[tuple]) -> Column:
+        return F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"o{i}") for i, (v, t) in enumerate(zip(row, self.types, strict=True))]) for row in starts])
+
+    def _reached(self, starts: list[tuple], at: Column, key: list[Column]) -> Column:
+        """Whether a key is at or after starts[at]; not true past the last."""
+        if any(v is None for row in self.starts for v in row):
+            return F.get(self._whole(starts), at) <= _key(key)
+        out = None
+        for k, values, t in reversed(list(zip(key, zip(*starts, strict=True), self.types, strict=True))):
+            start = F.get(F.array(*[F.lit(v).cast(t) for v in values]), at)
+            out = k >= start if out is None else (k > start) | ((k == start) & out)
+        return out
+
+    def place(self, df: DataFrame, order: list, name: str = _P) -> DataFrame:
+        """df with the range of each row, as of() has it. Of many ranges each level of the tree is a projection of its own with that
+        level's starts, so the code of each is short and compiled.
+        """
+        if self.many <= FEW:
+            return df.withColumn(name, self.of(order))
+        keys = {f"__key{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
+        rows = df.withColumns(keys).withColumn(name, F.lit(0))
+        for width in (1 << n for n in range(len(self.starts).bit_length(), 0, -1)):
+            right = self._reached(self.starts[width // 2 - 1 :: width], F.col(name), [F.col(k) for k in keys])
+            rows = rows.withColumn(name, F.col(name) * 2 + F.when(right, 1).otherwise(0))
+        return rows.drop(*keys)
+
 
 def cut_rows(df: DataFrame, order: list, cut: Ranges) -> DataFrame:
     """df with the range of each row, each range in a task of its own, whatever the session's number of tasks."""
-    rows = df.withColumn(_P, cut.of(order))
+    rows = cut.place(df, order)
     return rows if cut.starts is None else rows.repartitionById(cut.many, F.col(_P))
 
 
@@ -93,7 +118,7 @@ def running(df: DataFrame, order: list, value: Column, name: str, how: str = "su
     f = {"sum": F.sum, "max": F.max}[how]
     cut = cut or ranges(df, order, parts)
     valued = df.withColumn("__value", value)
-    rows = valued.withColumn(_P, cut.of(order))
+    rows = cut.place(valued, order)
     if cut.starts is None:
         told = f("__value").over(Window.partitionBy(_P).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
         return rows.select(*df.columns, (F.coalesce(told, F.lit(0)) if how == "sum" else told).alias(name))
@@ -113,7 +138,7 @@ def running_sum(df: DataFrame, order: list, value: Column, name: str, parts: int
 def neighbours(df: DataFrame, parts: int | None = None) -> DataFrame:
     """df(k, ...) with prev_k and next_k in key order."""
     found = ranges(df, ["k"], parts)
-    cut = df.withColumn(_P, found.of(["k"]))
+    cut = found.place(df, ["k"])
     inner, order = Window.partitionBy(_P).orderBy("k"), Window.orderBy(_P)
     if found.starts is None:
         return cut.withColumns({"prev_k": F.lag("k").over(inner), "next_k": F.lead("k").over(inner)}).drop(_P)
@@ -132,7 +157,7 @@ def nearest(hits: DataFrame, probes: DataFrame, parts: int | None = None) -> Dat
     columns = [F.col(c) for c in hits.columns]
     both = hits.select("k", F.struct(*columns).alias("hit"), F.lit(1).alias("side")).unionByName(probes.select("k").dropDuplicates().withColumn("side", F.lit(0)), allowMissingColumns=True)
     found = ranges(both, ["k"], parts)
-    cut = both.withColumn(_P, found.of(["k"]))
+    cut = found.place(both, ["k"])
     rows = (Window.unboundedPreceding, 0)
     up = F.last("hit", ignorenulls=True).over(Window.partitionBy(_P).orderBy(F.desc("k"), F.desc("side")).rowsBetween(*rows))
     down = F.last("hit", ignorenulls=True).over(Window.partitionBy(_P).orderBy("k", "side").rowsBetween(*rows))

@@ -84,3 +84,26 @@ def test_seek_charges_compare_within_nodes(spark):
     assert {(r.level, r.num): (r.charges, r.allowed, r.due) for r in made.collect()} == {(0, 7): (50, 100, False), (0, 8): (751, 100, True), (2, 9): (100, 100, True)}
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "node#" in plan and "__cell" not in plan  # nothing is compared with a whole range
+
+
+@pytest.mark.parametrize("nulls", [0, 10])
+def test_no_code_that_places_rows_is_too_long_to_be_compiled(spark, monkeypatch, nulls):
+    monkeypatch.setattr(ordered, "ROWS", 4000, raising=False)
+    df = spark.range(200_000).selectExpr(f"CASE WHEN pmod(id, 97) >= {nulls} THEN id * 7919 % 1000 END AS k", "id AS seq", "1 AS v")
+    order = ["k", -F.col("seq")]
+    cut = ordered.ranges(df, order)
+    assert 35 <= cut.many <= 64 and (cut.starts[0][0] is None) == (nulls > 0)
+    placed = ordered.cut_rows(df, order, cut)
+    many = [r["count"] for r in placed.groupBy("__range").count().collect()]
+    assert placed.filter(F.col("__range") != cut.of(order)).count() == 0 and len(many) == cut.many and max(many) < 8000
+    monkeypatch.setattr(ordered, "FEW", 64)  # all in one expression
+    assert placed.filter(F.col("__range") != cut.of(order)).count() == 0
+    monkeypatch.undo()
+    monkeypatch.setattr(ordered, "ROWS", 4000, raising=False)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        codes = ordered.running_sum(df, order, F.lit(1), "before")._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())]
+    assert max(sizes) < 8000, sizes  # bytes of a method; the JVM compiles none that are longer
