@@ -82,6 +82,7 @@ def stabbed(files: DataFrame, probes: DataFrame) -> DataFrame:
     Ends of files and probes are numbered in key order, of one key smallest keys first and largest last, and each CELL numbers make a
     cell, however often a key comes. A file goes to the nodes of a tree over the cells that cover it, a probe to those that it is
     under, and what meets in a node is a pair but for a file's first and last cell: the work grows with the rows and the pairs.
+    Neither side is sent to all tasks, as a plan knows neither how many nodes its rows go to nor, of compressed columns, its bytes.
     """
     ends = F.array(*[F.struct(F.col(c).alias("k"), F.lit(side).alias("side")) for c, side in (("smallest", 0), ("largest", 2))])
     bounds = files.filter("smallest <= largest").select(F.struct(*files.columns).alias("file"), F.explode(ends).alias("e")).select("e.k", "e.side", "file")
@@ -91,7 +92,7 @@ def stabbed(files: DataFrame, probes: DataFrame) -> DataFrame:
     held = placed.filter("side <> 1").groupBy("file").agg(F.min("cell").alias("first"), F.max("cell").alias("last"), F.count(F.when(F.col("side") == 0, 1)).alias("copies"))
     held = held.select("file", "copies", F.explode(_nodes(F.col("first"), F.col("last"))).alias("node"))
     under = F.array(*[F.shiftright("cell", BITS * n) * (LEVELS_UP + 1) + n for n in range(LEVELS_UP + 1)])
-    met = placed.filter("side = 1").select("k", "probe", F.explode(under).alias("node")).join(held, "node")
+    met = placed.filter("side = 1").select("k", "probe", F.explode(under).alias("node")).join(held.hint("merge"), "node")
     met = met.filter((F.col("k") >= F.col("file.smallest")) & (F.col("k") <= F.col("file.largest")))
     return met.select("probe", "file", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("probe", "file")
 

@@ -107,3 +107,14 @@ def test_no_code_that_places_rows_is_too_long_to_be_compiled(spark, monkeypatch,
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())]
     assert max(sizes) < 8000, sizes  # bytes of a method; the JVM compiles none that are longer
+
+
+def test_probes_of_seek_charges_are_not_sent_to_every_task(spark):
+    files = spark.range(2000).selectExpr("3 AS level", "id AS num", "1L AS size", "20 * id AS smallest", "20 * id + 25 AS largest")
+    probes = spark.range(40_010).withColumnRenamed("id", "k")
+    made = meta.seek_charges(files, probes)
+    assert made.agg(F.sum("charges")).first()[0] == 6 * 1999  # keys that two files hold
+    plan = made._jdf.queryExecution().executedPlan()
+    made.collect()
+    ran = plan.toString().split("Initial Plan")[0]
+    assert re.findall(r"(\w+Join) \[node#\d+L\]", ran) == ["SortMergeJoin"]
